@@ -30,8 +30,8 @@ HASH_BITS = 44
 CHUNK = 1 << 20
 SEED = 5
 PARTS = 64
-#: Below this similarity of two stars' centres no members of the stars can be alike, by the triangle inequality.
-APART = 1 - 3 * (1 - SIMILARITY)
+#: Narrow buckets for texts whose first buckets stay apart: so many choices of so many of the samples.
+NARROW, NARROW_ROWS = 100, 10
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -178,17 +178,31 @@ class Sampler:
                 a = self.log_gamma[((h >> np.uint64(16)) & mask).astype(np.int64)] - r * (t - beta + 1)
                 low = np.minimum.reduceat(a, begins)
                 at = np.flatnonzero(a == np.repeat(low, lengths))
-                at = at[np.searchsorted(at, begins)]
+                at = at[np.searchsorted(at, begins)]  # the first of a document's minima
                 out[:, k] = mixed(hashes[at] * np.uint64(0x9E3779B97F4A7C15) + t[at].astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k))
         return out
 
 
+def buckets_of(samples: np.ndarray, choices: np.ndarray) -> np.ndarray:
+    """A bucket number for each row of ``samples`` and each choice (a row of ``choices``) of its columns."""
+    out = np.zeros((len(samples), len(choices)), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for b, columns in enumerate(choices):
+            h = np.full(len(samples), b + 1, dtype=np.uint64)
+            for j in columns:
+                h = mixed(h * np.uint64(0x100000001B3) + samples[:, j].astype(np.uint64))
+            out[:, b] = h
+    return out.astype(np.int64)
+
+
 def signed(texts: DataFrame, weigh: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, key and the bucket of each band of each text (none where it has no words)."""
+    """doc_id, key, the samples (null where a text has no words) and the bucket of each band."""
+    choices = np.arange(bands * rows).reshape(bands, rows)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, sampler = Shingler(), Sampler(bands * rows)
         for batch in batches:
+            kept: list = [None] * len(batch)
             found: list = [[]] * len(batch)
             for start, chunk in chunked(batch["text"].tolist()):
                 who, hashes, tf = shingler.shingles(chunk)
@@ -196,19 +210,28 @@ def signed(texts: DataFrame, weigh: np.ndarray, bands: int = BANDS, rows: int =
                     continue
                 begins = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
                 weights = tf * weigh[(hashes % np.uint64(len(weigh))).astype(np.int64)]
-                samples = sampler.signatures(hashes, weights, begins)
-                buckets = np.zeros((len(begins), bands), dtype=np.uint64)
-                with np.errstate(over="ignore"):
-                    for b in range(bands):
-                        h = np.full(len(begins), b + 1, dtype=np.uint64)
-                        for j in range(rows):
-                            h = mixed(h * np.uint64(0x100000001B3) + samples[:, b * rows + j])
-                        buckets[:, b] = h
-                for d, row in zip(who[begins], buckets.astype(np.int64), strict=True):
-                    found[start + d] = row
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "buckets": found}).astype({"doc_id": "Int64"})
+                samples = sampler.signatures(hashes, weights, begins).astype("<u4")
+                for d, own, row in zip(who[begins], samples, buckets_of(samples, choices), strict=True):
+                    kept[start + d], found[start + d] = own.tobytes(), row
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "samples": kept, "buckets": found}).astype({"doc_id": "Int64"})
+
+    return texts.select("doc_id", "key", "text").mapInPandas(sign, "doc_id long, key string, samples binary, buckets array<long>")
+
+
+def narrowed(nodes: DataFrame, samples: int, narrow: int = NARROW, rows: int = NARROW_ROWS) -> DataFrame:
+    """The columns of ``nodes`` but its samples, and narrow buckets: random choices of ``rows`` samples."""
+    r = np.random.default_rng(SEED + 1)
+    choices = np.array([r.choice(samples, size=min(rows, samples), replace=False) for _ in range(narrow)])
+    others = [c for c in nodes.columns if c != "samples"]
 
-    return texts.select("doc_id", "key", "text").mapInPandas(sign, "doc_id long, key string, buckets array<long>")
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                own = np.stack([np.frombuffer(raw, "<u4") for raw in batch["samples"]])
+                yield batch[others].assign(buckets=list(buckets_of(own, choices)))
+
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields if f.name != "samples"]
+    return nodes.mapInPandas(choose, ", ".join([*fields, "buckets array<long>"]))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -276,41 +299,38 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY, bands: int = B
     weigh = idf(frequencies, n)
     marks = staged(signed(texts, weigh, bands, rows), "dup-marks")
     # One node for each different text.
-    nodes = staged(marks.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("buckets").alias("buckets")), "dup-nodes")
+    nodes = staged(marks.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("samples").alias("samples"), F.min("buckets").alias("buckets")), "dup-nodes")
     members = nodes.select("key", "first_id", F.explode("buckets").alias("bucket"))
-    centres = staged(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("centre")).where("n > 1"), "dup-centres").select(F.col("bucket").alias("c"), "centre")
-    members = staged(members.join(centres, F.col("bucket") == F.col("c")).select("key", "first_id", "bucket", "centre"), "dup-members")
-    wanted = members.groupBy("key").agg(F.min("first_id").alias("first_id")).select(F.col("key").alias("k"), F.col("first_id").alias("f"))
+    shared = staged(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dup-shared").select(F.col("bucket").alias("c"), "n")
+    members = staged(members.join(shared, F.col("bucket") == F.col("c")).select("key", "first_id", "bucket", "n"), "dup-members")
+    wanted = staged(members.groupBy("key").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("degree")), "dup-wanted").select(F.col("key").alias("k"), F.col("first_id").alias("f"), "degree")
     read = texts.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("f"))).select("key", "text")
     read = staged(read.dropDuplicates(["key"]), "dup-texts")
 
-    pairs = members.where("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct()
+    members = staged(members.join(wanted.select("k", "degree"), F.col("key") == F.col("k")).select("key", "bucket", "degree"), "dup-members")
+    centres = staged(members.groupBy("bucket").agg(F.max(F.struct("degree", "key")).alias("top")), "dup-centres").select(F.col("bucket").alias("c"), F.col("top.key").alias("centre"))
+    starred = members.join(centres, F.col("bucket") == F.col("c")).where(F.col("key") != F.col("centre"))
+    pairs = starred.select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct()
     tested = staged(verified(pairs, read, weigh), "dup-tested")
     roots = components(tested.where(F.col("similarity") >= similarity))
-    while True:
-        # Buckets that hold members of several components: each member meets one of each other component there.
-        rooted = members.select("key", "bucket").join(roots.select(F.col("key").alias("k"), "root"), F.col("key") == F.col("k"), "left").select("key", "bucket", F.coalesce("root", "key").alias("root"))
-        heads = rooted.groupBy("bucket", "root").agg(F.min("key").alias("head"))
-        split = heads.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select(F.col("bucket").alias("s"))
-        apart = staged(rooted.join(split, F.col("bucket") == F.col("s"), "left_semi"), "dup-apart")
-        heads = apart.groupBy("bucket", "root").agg(F.min("key").alias("head")).select(F.col("bucket").alias("hb"), F.col("root").alias("hr"), "head")
-        met = apart.join(heads, (F.col("bucket") == F.col("hb")) & (F.col("root") != F.col("hr")))
-        more = met.select(F.greatest("key", "head").alias("a"), F.least("key", "head").alias("b"))
-        # Parts whose heads are not far apart may still hold linked members: there all of one meet all of the other.
-        close = tested.where((F.col("similarity") >= APART) & (F.col("similarity") < similarity)).select(F.col("a").alias("ca"), F.col("b").alias("cb"))
-        near = apart.join(close, F.col("key") == F.col("ca")).select("bucket", "root", "cb")
-        cross = near.join(apart.select(F.col("bucket").alias("b2"), F.col("root").alias("r2"), F.col("key").alias("k2")), (F.col("bucket") == F.col("b2")) & (F.col("cb") == F.col("k2")) & (F.col("root") != F.col("r2"))).select("bucket", "root", "r2").distinct()
-        one = apart.select(F.col("bucket").alias("b1"), F.col("root").alias("r1"), F.col("key").alias("k1"))
-        two = apart.select(F.col("bucket").alias("b3"), F.col("root").alias("r3"), F.col("key").alias("k3"))
-        crossed = cross.join(one, (F.col("bucket") == F.col("b1")) & (F.col("root") == F.col("r1"))).join(two, (F.col("bucket") == F.col("b3")) & (F.col("r2") == F.col("r3"))).select(F.greatest("k1", "k3").alias("a"), F.least("k1", "k3").alias("b"))
-        done = tested.select(F.greatest("a", "b").alias("ta"), F.least("a", "b").alias("tb"))
-        new = more.unionByName(crossed).distinct().join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-        fresh = staged(verified(new, read, weigh), "dup-tested")
-        if fresh.limit(1).count() == 0:
-            break
-        tested = staged(tested.unionByName(fresh), "dup-tested")
-        if fresh.where(F.col("similarity") >= similarity).limit(1).count():
-            roots = components(tested.where(F.col("similarity") >= similarity))
+
+    # Texts of buckets whose parts stay apart meet in narrow buckets, at two centres each.
+    label = roots.select(F.col("key").alias("k"), "root")
+    rooted = members.join(label, F.col("key") == F.col("k"), "left").select("key", "bucket", "degree", F.coalesce("root", "key").alias("root"))
+    rooted = staged(rooted, "dup-rooted")
+    split = staged(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high"), "dup-split").select(F.col("bucket").alias("c"))
+    apart = rooted.join(split, F.col("bucket") == F.col("c"), "left_semi").select("key", "degree", "root").distinct()
+    again = staged(apart.join(nodes.select(F.col("key").alias("k"), "samples"), F.col("key") == F.col("k")).select("key", "degree", "root", "samples"), "dup-apart")
+    narrow = narrowed(again, bands * rows).select("key", "degree", "root", F.explode("buckets").alias("bucket"))
+    narrow = staged(narrow, "dup-narrow")
+    ends = narrow.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("degree", "key", "root")).alias("one"), F.min(F.struct(F.xxhash64("key", "bucket").alias("h"), "key", "root")).alias("two")).where("low <> high")
+    ends = staged(ends.select(F.col("bucket").alias("c"), F.array(F.struct(F.col("one.key").alias("key"), F.col("one.root").alias("root")), F.struct(F.col("two.key").alias("key"), F.col("two.root").alias("root"))).alias("ends")), "dup-ends")
+    met = narrow.join(ends, F.col("bucket") == F.col("c")).select("key", "root", F.explode("ends").alias("e")).where(F.col("root") != F.col("e.root"))
+    new = met.select(F.greatest("key", "e.key").alias("a"), F.least("key", "e.key").alias("b")).distinct()
+    done = tested.select(F.greatest("a", "b").alias("ta"), F.least("a", "b").alias("tb"))
+    new = new.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+    fresh = staged(verified(new, read, weigh), "dup-tested")
+    roots = components(tested.unionByName(fresh).where(F.col("similarity") >= similarity))
 
     rooted = nodes.select("key", "first_id").join(roots.select(F.col("key").alias("k"), "root"), F.col("key") == F.col("k"), "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
     rooted = staged(rooted, "dup-rooted")
