@@ -244,8 +244,8 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 def verified(pairs: DataFrame, texts: DataFrame, weigh: np.ndarray) -> DataFrame:
     """a, b and the weighted Jaccard similarity of each pair of keys (a, b). ``texts``: key, text, one row a key."""
-    left = pairs.join(texts.select(F.col("key").alias("ka"), F.col("text").alias("ta")), F.col("a") == F.col("ka")).select("a", "b", "ta")
-    both = left.join(texts.select(F.col("key").alias("kb"), F.col("text").alias("tb")), F.col("b") == F.col("kb")).select("a", "b", "ta", "tb")
+    left = pairs.join(texts.select(F.col("key").alias("ka"), F.col("text").alias("ta")).hint("merge"), F.col("a") == F.col("ka")).select("a", "b", "ta")
+    both = left.join(texts.select(F.col("key").alias("kb"), F.col("text").alias("tb")).hint("merge"), F.col("b") == F.col("kb")).select("a", "b", "ta", "tb")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
@@ -304,7 +304,8 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY, bands: int = B
     shared = staged(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dup-shared").select(F.col("bucket").alias("c"), "n")
     members = staged(members.join(shared, F.col("bucket") == F.col("c")).select("key", "first_id", "bucket", "n"), "dup-members")
     wanted = staged(members.groupBy("key").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("degree")), "dup-wanted").select(F.col("key").alias("k"), F.col("first_id").alias("f"), "degree")
-    read = texts.join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("f"))).select("key", "text")
+    # Neither side of the joins with texts has a bound, so neither is ever broadcast.
+    read = texts.join(wanted.hint("merge"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("f"))).select("key", "text")
     read = staged(read.dropDuplicates(["key"]), "dup-texts")
 
     members = staged(members.join(wanted.select("k", "degree"), F.col("key") == F.col("k")).select("key", "bucket", "degree"), "dup-members")
