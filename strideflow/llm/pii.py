@@ -124,7 +124,8 @@ def discovered(graph: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> Data
     """
     state = graph.withColumn("belief", F.col("known"))
     seeds = graph.where("known = 1").select("side", "word").distinct()
-    totals = staged(words.join(seeds.select(F.col("word").alias("w")).distinct(), F.col("word") == F.col("w"), "left_semi"), "pii-totals")
+    # An inner join with distinct words: a semi-join would be pushed below the count, and every word shuffled.
+    totals = staged(words.join(seeds.select(F.col("word").alias("w")).distinct(), F.col("word") == F.col("w")).drop("w"), "pii-totals")
     found = None
     for _ in range(rounds):
         strength = state.groupBy("side", "word").agg(F.sum(F.col("n") * F.col("belief")).alias("for"), F.sum((F.col("belief") > 0).cast("long")).alias("seeds"))
