@@ -130,10 +130,10 @@ class Scanner:
         """Features of a text: 1, then log counts of exact, misspelt and stem hits by context, and their density."""
         words = text.lower().split()
         known, hits = self.known, []
+        if len(known) > 500_000:  # a bound for memory; never within a text
+            known.clear()
         for raw in set(words):
             if raw not in known:
-                if len(known) > 500_000:
-                    known.clear()
                 known[raw] = self.look(raw.strip(EDGE))
             if known[raw]:
                 hits.append(raw)
