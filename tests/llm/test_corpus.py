@@ -1,0 +1,360 @@
+"""Corpus operators against plain restatements, and on awkward tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strideflow.llm import fingerprints, languages, mixing, near_duplicates, packing, pii, queries, search, secrets, sharding, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, bucket long, size string, spans int, score string, step int, root string"
+
+
+def words(r, n):
+    return " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(n))
+
+
+def rows():
+    r = random.Random(1)
+    base = [words(r, r.randint(8, 120)) for _ in range(30)]
+    texts = base + [base[0]] * 12 + [base[1] + " one more"] * 2 + [None, "", " \n ", "###", "x", words(r, 30_000), "é" * 50, "mail a.b@c.de +1 (234) 567-8901 10.0.0.1 4111 1111 1111 1111"]
+    out = [(i, t, ["en", "de", None][i % 3], ["s1", "s2", None][i % 3], len(t or "")) for i, t in enumerate(texts)]
+    return [(*x, "k", 1, "z", 2, "q", 3, "w") for x in [*out, out[0], out[0], (None, base[2], None, None, None), (None, None, None, None, None)]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def table_dir(spark, tmp_path_factory, docs):
+    d = str(tmp_path_factory.mktemp("tables"))
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(40)] + [(None, None, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    r = np.random.default_rng(0)
+    vectors = [(i, [float(x) for x in r.normal(0, 0.3, 8)], 0) for i in range(150)] + [(200, None, 0), (201, [None] * 8, 0), (202, [float("nan")] * 8, 0), (0, None, 0), (None, [0.1] * 8, 0)]
+    spark.createDataFrame([*vectors, vectors[3]], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_query_keeps_all_rows(spark, table_dir, docs, name):
+    got = queries.QUERIES[name](spark, table_dir).toPandas()
+    if name == "op6_topk":
+        assert len(got) == 8 * 20
+    elif name == "op3_packing":
+        assert len(got[got.piece == 0]) == docs.count()
+    else:
+        assert len(got) == docs.count()
+
+
+@pytest.fixture(scope="module")
+def empty_dir(spark, tmp_path_factory, none):
+    d = str(tmp_path_factory.mktemp("empty"))
+    none.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_query_of_empty_tables(spark, empty_dir, name):
+    assert queries.QUERIES[name](spark, empty_dir).count() == 0
+
+
+def test_sharding_laws(spark, table_dir, docs):
+    got = sharding.op1_sharding(spark, table_dir).toPandas()
+    n = got.groupby("shard").agg(n=("slot", "size"), top=("slot", "max"), u=("slot", "nunique"))
+    assert (n.n == n.top + 1).all() and (n.n == n.u).all() and got.shard.between(0, 39).all()
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in got[got.doc_id.notna()].itertuples():
+        raw = (text[int(r.doc_id)] or "").encode()
+        assert r.size == len(raw) + 16 and r.text_crc32 == zlib.crc32(raw)
+
+
+def test_placing_balances_all_resources():
+    r = np.random.default_rng(3)
+    items = r.integers(1, 50, (4000, 3)).astype(float)
+    spots = sharding.place(items, 10)
+    sums = np.array([items[spots == k].sum(axis=0) for k in range(10)])
+    assert (sums.max(axis=0) / sums.mean(axis=0) < 1.02).all()
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(n):
+    return sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(n))) % 10 == 0
+
+
+def plain_pii(text):
+    out = []
+    for kind, p in BASE.items():
+        for m in re.finditer(p, text or ""):
+            n = re.sub(r"[^0-9]", "", m.group())
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")), "card": 13 <= len(n) <= 19 and luhn(n), "phone": 9 <= len(n) <= 15}[kind]:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def test_pii_base_spans(spark, tmp_path):
+    r = random.Random(5)
+    texts = ["".join(r.choice(["a.b", "@", "c-d", ".", "1", "25", "256", "+", " ", "-", "(", ")", "é", "x@y.z", "10.0.0.1", "4111111111111111", "+12345678901", "\n"]) for _ in range(r.randint(0, 60))) for _ in range(400)]
+    texts += ["a@b.c_d@e.f", "1.2.3.4.5.6.7.8", "0000.1.2.3", "9" * 30_000, "+1" * 5000, "a" * 50_000 + "@b.c", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in pii.op2_pii(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].base_sha256 == hashlib.sha256(plain_pii(t).encode()).hexdigest(), t[:80]
+
+
+def test_pii_patterns_discover_identifiers(spark):
+    r = random.Random(2)
+    texts = [f"{words(r, 8)} kontakt {100 + i}.1.2.3 {words(r, 4)}" for i in range(30)] + [f"{words(r, 6)} kontakt QX-77{i}Z {words(r, 5)}" for i in range(2)] + [f"{words(r, 6)} plain ab{i}c {words(r, 5)}" for i in range(5)]
+    got = {x.doc_id: x.spans for x in pii.personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i in (30, 31):
+        assert [texts[i][s.start : s.end] for s in got[i] if s.kind == 4] == [f"QX-77{i - 30}Z"]
+    assert not any(s.kind == 4 for i in range(32, 37) for s in got[i])
+
+
+def test_packing_round_trip(spark, docs):
+    pieces = packing.tokenised(docs, keep_ids=True)
+    got = packing.pack(pieces).toPandas()
+    assert (got.length <= 2048).all()
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert (s.offset.to_numpy() == np.concatenate([[0], s.length.cumsum().to_numpy()[:-1]])).all() and s.length.sum() <= 2048
+    assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) * 1.05 + 1
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(packing.tokenizer_files()[0])
+    for r in docs.where("doc_id is not null and doc_id > 0").collect():
+        own = got[got.doc_id == r.doc_id].sort_values("piece")
+        ids = [int(x) for part in own.ids for x in part]
+        assert ids == full.encode(r.text or "", add_special_tokens=False).ids + [0]
+        assert (own.start.to_numpy() == np.concatenate([[0], own.length.cumsum().to_numpy()[:-1]])).all()
+        assert (own.length.to_numpy()[1:] == 2048).all()
+
+
+def test_best_fit_is_best_fit_decreasing():
+    r = random.Random(4)
+    for _ in range(20):
+        sizes = sorted((r.randint(1, 100) for _ in range(200)), reverse=True)
+        gaps = []
+        for s in sizes:
+            fit = [g for g in gaps if g >= s]
+            if fit:
+                gaps.remove(min(fit))
+                gaps.append(min(fit) - s)
+            else:
+                gaps.append(100 - s)
+        plan = packing.best_fit({s: sizes.count(s) for s in set(sizes)}, 100)
+        used = set()
+        for k, length in enumerate(plan["length"]):
+            ends = [plan["rank"][j] for j in range(len(plan["rank"])) if plan["length"][j] == length and plan["rank"][j] > plan["rank"][k]]
+            n = min(ends, default=sizes.count(length)) - plan["rank"][k]
+            used |= {plan["sequence"][k] + i // plan["per"][k] for i in range(n)}
+        assert len(used) <= len(gaps) + 1
+
+
+def test_near_duplicates_match_brute_force(spark):
+    r = random.Random(7)
+    texts = []
+    for _ in range(40):
+        w = words(r, r.randint(60, 120)).split()
+        texts.append(" ".join(w))
+        for _ in range(r.randint(0, 3)):
+            v = list(w)
+            for _ in range(r.randint(0, 2)):
+                v[r.randrange(len(v))] = words(r, 1)
+            texts.append(" ".join(v))
+    texts += [texts[0]] * 5 + [None, "", "", "one two", "one two", "one three"]
+    got = {x.doc_id: x for x in near_duplicates.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [set() if not (t or "").split() else {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    for a in range(len(texts)):
+        for b in range(a):
+            j = len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) if sets[a] | sets[b] else 1.0
+            if j >= 0.87 or (texts[a] or "") == (texts[b] or ""):
+                assert got[a].class_id == got[b].class_id, (a, b, j)
+            if j < 0.3:
+                assert got[a].class_id != got[b].class_id
+    assert sum(x.keep for x in got.values()) == len({x.class_id for x in got.values()})
+
+
+def test_near_copies_without_pair_expansion(spark):
+    r = random.Random(8)
+    base = words(r, 100).split()
+    texts = [" ".join(base)]
+    for _ in range(300):
+        v = list(base)
+        v[r.randrange(100)] = words(r, 1)
+        texts.append(" ".join(v))
+    got = near_duplicates.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    assert got.class_id.nunique() == 1
+
+
+def test_sampling_estimates_weighted_jaccard():
+    r = np.random.default_rng(1)
+    a, b = r.uniform(0.5, 3, 300), r.uniform(0.5, 3, 300)
+    hashes = r.integers(0, 1 << 44, 300).astype(np.uint64)
+    s = near_duplicates.Sampler(600)
+    one = np.array([0])
+    same = (s.signatures(hashes, a, one) == s.signatures(hashes, b, one)).mean()
+    assert abs(same - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.07
+
+
+def test_language_profiles(spark):
+    r = random.Random(3)
+    kinds = {"aa": ["the", "thing", "and", "over"], "bb": ["schön", "und", "über", "zucht"]}
+    data = [(i, " ".join(r.choice(kinds[k]) for _ in range(30)), k) for i, k in enumerate(["aa", "bb"] * 40)]
+    frame = spark.createDataFrame([*data, (100, None, "aa"), (101, "12 !!", None)], "doc_id long, text string, lang string")
+    model = languages.learn(frame.where(~languages.held_out()))
+    got = {x.doc_id: x for x in languages.predict(frame, model, keep=["doc_id"]).collect()}
+    assert all(got[i].lang_pred == k for i, _, k in data)
+    assert got[100].lang_pred == got[101].lang_pred == "und" and got[100].score == 0.0
+
+
+def test_language_vectors_are_bound_and_bundled():
+    e = languages.Encoder(64)
+    grams = e.grams("ab c")
+    first, second, third = e.first, e.second, e.third
+    s = [0, 1, 2, 0, 3, 0]
+    want = sum(first[a].astype(int) * second[b] * third[c] for a, b, c in zip(s, s[1:], s[2:], strict=False))
+    assert (e.vectors([grams])[0] == want).all()
+
+
+def test_topk_ties_and_widths(spark):
+    v = spark.createDataFrame([(i, [i % 3, 1]) for i in range(50)] + [(60, [1, 1, 5]), (61, [])], "vec_id long, ints array<long>")
+    got = search.top_k(v, v.where("vec_id in (0, 60, 61)"), k=4, rows=8).toPandas()
+    data = {r.vec_id: r.ints for r in v.collect()}
+    for q, part in got.groupby("query_id"):
+        want = sorted(((-sum(a * b for a, b in zip(data[q], x, strict=False)), i) for i, x in data.items() if i != q))[:4]
+        assert [(-s, i) for s, i in zip(part.sort_values("rank").score, part.sort_values("rank").vec_id, strict=True)] == want
+
+
+def test_topk_huge_values():
+    index = search.ImpactIndex(np.array([1, 2, 3]), np.array([[1 << 40, 3], [1 << 40, 4], [0, 0]]))
+    (_, ids, scores), = index.top(np.array([[1 << 20, 1]]), np.array([9]), 2)
+    assert list(ids) == [2, 1] and list(scores) == [(1 << 60) + 4, (1 << 60) + 3]
+
+
+def test_prefix_hashes():
+    p = fingerprints.Powers()
+    a, b = fingerprints.PrefixHash("xxabcdefyy", p), fingerprints.PrefixHash("abcdefzz", p)
+    assert a.equal(2, b, 0, 6) and not a.equal(2, b, 0, 7) and a.extension(2, b, 0) == 6 and a.extension(0, b, 0) == 0
+    assert len(set(fingerprints.PrefixHash("abcabcabc", p).windows(3))) == 3
+
+
+def test_fingerprints_follow_doc_id(spark):
+    r = random.Random(6)
+    texts = [words(r, r.randint(0, 60)) for _ in range(200)]
+    ids = r.sample(range(10_000), 200)
+    got = fingerprints.fingerprints(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).toPandas().set_index("doc_id")
+    order = sorted(zip(ids, texts, strict=True))
+    for (i, t), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        edited = t[: len(t) - len(t) // 4] + following[: len(t) // 4]
+        assert got.loc[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got.loc[i].n_chars == len(t)
+    assert got.near_edited.mean() > 0.4 > 0.1 > got.near_next.mean()
+
+
+def test_mixing_targets_and_schedule(spark):
+    sources = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 10), (None, 500)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(sources).collect()}
+    assert got["a"] == 200 and got["c"] == 20 and abs(sum(got.values()) - 1.5 * 1610) < 1e-6 and abs(got[None] / got["b"] - 2.5) > 0.01
+    r = random.Random(9)
+    docs = spark.createDataFrame([(i, words(r, r.randint(1, 20)), r.choice(["a", "b", "c", None])) for i in range(3000)], "doc_id long, text string, source string")
+    rows = mixing.mix(mixing.sized(docs)).toPandas()
+    assert rows.mix_times.between(0, 2).all()
+    rows["taken"], rows["source"] = rows.mix_size * rows.mix_times, [x["source"] for x in rows.mix_row]
+    for _, part in rows.groupby("source", dropna=False):
+        assert abs(part.taken.sum() / part.mix_target.iloc[0] - 1) < 0.02
+
+
+SECRET = {"assign": r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
+
+
+def test_secret_rules_match_their_definition():
+    r = random.Random(11)
+    parts = ["password", "Token", "api_key", "=", ":", " ", '"', "AKIA", "ABCDEFGHIJKLMN", "0123456789abcdef", "deadbeef", "x", "Z9", "é", "\n", "secret: "]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        want = []
+        for k, (kind, p) in enumerate(SECRET.items()):
+            for m in re.finditer(p, text):
+                if {"assign": lambda m: len(m[2]) >= 12, "access": lambda m: len(m[0]) >= 18, "hex": lambda m: len(m[0]) >= 16}[kind](m):
+                    want.append((m.start(), k, kind, m.end()))
+        assert [(s, secrets.KINDS.index(k), k, e) for k, s, e in secrets.base_spans(text)] == sorted(want)
+
+
+def test_network_finds_held_out_secrets(spark):
+    net = secrets.default_net()
+    found = secrets.labelled_findings(800, seed=123)
+    table = secrets.char_classes()
+    p = net.probability(np.concatenate([secrets.windows(x.text, [(x.start, x.end)], table) for x in found.itertuples()]))
+    assert (p[found.label == 1] >= net.threshold).mean() > 0.9 and (p[found.label == 0] >= net.threshold).mean() < 0.02
+    frame = spark.createDataFrame([(1, "see ghp_a8Kd92kLmQ0zX7vB31nRtYw56pLs ok"), (2, None), (3, "a plain text")], "doc_id long, text string")
+    got = {x.doc_id: x for x in secrets.scan(frame, net, keep=["doc_id"], also="masked").collect()}
+    assert got[1].masked == "see [SECRET] ok" and got[2].masked is None and got[3].masked == "a plain text"
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i, *row[1:]]
+        last = i - 1
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_automaton_is_the_edit_distance():
+    r = random.Random(12)
+    terms = ["idiot", "moron", "stupid", "scum"]
+    automaton = toxicity.Automaton(terms)
+    for _ in range(4000):
+        w = list(r.choice(terms))
+        for _ in range(r.randint(0, 2)):
+            k = r.randrange(len(w) + 1)
+            w[k : k + r.randint(0, 1)] = r.choice(["", "x", "o"])
+        w = "".join(w)
+        near = min((edit_distance(w, t), t) for t in terms if edit_distance(w, t) == 0 or len(t) >= 5)
+        assert automaton.match(w) == (near if near[0] <= 1 else None), w
+
+
+def test_toxicity_learns_and_reads_context(spark):
+    r = random.Random(13)
+    bad = ["snarfle", "gronked", "blivet"]
+    data = [(i, words(r, 40) + (" " + " ".join(r.choice(bad) for _ in range(3)) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(600)]
+    model = toxicity.learn(spark.createDataFrame(data, "doc_id long, text string, toxic int"))
+    assert set(bad) <= set(model.terms)
+    texts = ["you snarfle gronked snarfle", "you snarflle gronkd blivet", words(r, 40), 'the paper wrote "snarfle" once', "", None]
+    got = {x.doc_id: x.score for x in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, keep=["doc_id"]).collect()}
+    assert got[0] >= 0.7 and got[1] > got[2] and got[0] > got[3] and got[2] < 0.3 and got[4] == got[5]
+
+
+def test_pipeline_stages(spark, table_dir, docs, empty_dir):
+    import corpus_pipeline as p
+
+    from strideflow.llm.common import staged
+
+    assert [n for n, _ in p.STAGES] == ["language", "near_duplicates", "secrets", "mixing", "packing"]
+    now = docs
+    for name, stage in p.STAGES:
+        out = staged(stage(spark, now, table_dir), name)
+        if name != "packing":
+            assert out.columns == docs.columns
+        now_ids = {r.doc_id for r in now.select("doc_id").collect()}
+        assert {r.doc_id for r in out.select("doc_id").collect()} <= now_ids
+        if name == "near_duplicates":
+            assert out.where(F.col("text") == rows()[0][1]).count() == 1
+        now = out
+    assert p.run(spark, empty_dir).count() == 0
