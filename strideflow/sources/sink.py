@@ -40,6 +40,10 @@ def wire_values(messages: DataFrame, catalogue: Catalogue) -> DataFrame:
     real = std.where((F.col("m0").isNull() | (F.col("name") == F.col("p_name")) | F.col("s_name").isNotNull() | ((F.col("name") == "unknown") & F.col("p_name").isNull())) & (F.col("sub_pos") == 0))
     w = Window.partitionBy("path", "chain_idx", "seq", "fdn").orderBy("pos", "sub_pos")
     real = real.withColumn("__n", F.row_number().over(w)).where("__n = 1")
+    # Counters go back to what their width holds.
+    wrapped = F.pmod(F.col("value.i"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")))
+    counter = F.coalesce("accumulate", F.lit(False)) & F.col("value.i").isNotNull()
+    real = real.withColumn("value", F.when(counter, F.col("value").withField("i", wrapped).withField("u", wrapped.cast("decimal(20,0)"))).otherwise(F.col("value")))
     sub = F.col("s_name").isNotNull()
     real = real.withColumn("type", F.when(sub, F.col("s_type")).otherwise(F.col("type"))).withColumn("scale", F.when(sub, F.col("s_scale")).otherwise(F.col("scale"))).withColumn("offset", F.when(sub, F.col("s_offset")).otherwise(F.col("offset")))
     bases = spark.createDataFrame([(t.name, t.name) for t in TYPES] + [(a, named(a).name) for a in ("bool", "date_time", "local_date_time")] + [(t, ENUM_BASES.get(t, "enum")) for t in sorted({e[0] for e in catalogue.enums} | set(ENUM_BASES))], "b_type string, b_base string")
