@@ -146,18 +146,25 @@ def encode_segment(records: list[tuple[int, list[tuple], list[tuple]]], protocol
 _PART = {"int": "i", "float": "f", "string": "s", "bytes": "b", "ints": "ai", "floats": "af"}
 
 
+_PARTS = tuple(_PART.values())
+
+
 def encoded_segments(wire: DataFrame, protocol: int = PROTOCOL, profile: int = PROFILE) -> DataFrame:
     """path, chain_idx, content, error of each segment. A segment is one task's work, as its slots are sequential."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        records = []
-        for (_, mesg_num), rows in pdf.sort_values(["seq", "pos"]).groupby(["seq", "mesg_num"], sort=False):
-            items: dict[str, list] = {"field": [], "dev": []}
-            for r in rows.to_dict("records"):
-                if r["kind"] in items:
-                    part = _PART.get(r["tag"])
-                    items[r["kind"]].append((int(r["fdn"]), r["base_type"], r["tag"], r[part] if part else None, int(r["ddi"]) if r["kind"] == "dev" else None))
-            records.append((int(mesg_num), items["field"], items["dev"]))
+        records: list[tuple[int, list, list]] = []
+        pdf = pdf.sort_values(["seq", "pos"])
+        last = None
+        for seq, mesg_num, kind, fdn, ddi, base, tag, *parts in zip(*[pdf[c].tolist() for c in ("seq", "mesg_num", "kind", "fdn", "ddi", "base_type", "tag", *_PARTS)], strict=True):
+            if seq != last:
+                records.append((int(mesg_num), [], []))
+                last = seq
+            item = (int(fdn), base, tag, parts[_PARTS.index(_PART[tag])] if tag in _PART else None)
+            if kind == "field":
+                records[-1][1].append(item)
+            elif kind == "dev":
+                records[-1][2].append((*item, int(ddi)))
         content, error = None, None
         try:
             content = encode_segment(records, protocol, profile)
