@@ -107,7 +107,7 @@ def crc16_text(spark, d):
     return b.select("item_id", fn.crc16_expr(F.col("text").cast("binary")).alias("crc"))
 
 
-@query("""SELECT event_id, i AS lane, ((event_id * 2654435761 % 4294967296) >> (i * 8)) & 255 AS raw FROM events, LATERAL unnest(generate_series(0, 3)) AS t(i)""")
+@query("""SELECT event_id, i::INT AS lane, ((event_id * 2654435761 % 4294967296) >> (i * 8)) & 255 AS raw FROM events, LATERAL unnest(generate_series(0, 3)) AS t(i)""")
 def unpack_bits(spark, d):
     packed = F.pmod(F.col("event_id") * F.lit(2654435761), F.lit(1 << 32))
     lanes = F.array(*[fn.lane(packed, 8 * i, 8) for i in range(4)])
