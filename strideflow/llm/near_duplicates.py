@@ -4,8 +4,8 @@ Texts become sets of five-word shingles, weighed by their count in the text and
 inverse document frequency. Improved consistent weighted sampling draws from each weighted
 set samples that two sets share with the probability of their weighted Jaccard similarity;
 bands of samples put similar texts into common buckets. A bucket is never expanded into
-pairs: its members are held against one member at a time (a star), and only where parts
-of a bucket stay apart are they held against one member of each other part. Candidates
+pairs: its members are held against one of them (a star), and those of buckets whose parts
+stay apart meet again in narrow buckets, at two centres each. Candidates
 are verified by the weighted Jaccard similarity itself; classes are the connected
 components of verified links.
 """
@@ -32,6 +32,8 @@ SEED = 5
 PARTS = 64
 #: Narrow buckets for texts whose first buckets stay apart: so many choices of so many of the samples.
 NARROW, NARROW_ROWS = 100, 10
+#: Turns with other narrow buckets each, at most; a turn that finds no link is the last.
+TURNS = 1
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -196,7 +198,7 @@ def buckets_of(samples: np.ndarray, choices: np.ndarray) -> np.ndarray:
 
 
 def signed(texts: DataFrame, weigh: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, key, the samples (null where a text has no words) and the bucket of each band."""
+    """doc_id, key, the samples and total weight (null where a text has no words) and the bucket of each band."""
     choices = np.arange(bands * rows).reshape(bands, rows)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,6 +206,7 @@ def signed(texts: DataFrame, weigh: np.ndarray, bands: int = BANDS, rows: int =
         for batch in batches:
             kept: list = [None] * len(batch)
             found: list = [[]] * len(batch)
+            total: list = [None] * len(batch)
             for start, chunk in chunked(batch["text"].tolist()):
                 who, hashes, tf = shingler.shingles(chunk)
                 if not len(who):
@@ -211,16 +214,17 @@ def signed(texts: DataFrame, weigh: np.ndarray, bands: int = BANDS, rows: int =
                 begins = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
                 weights = tf * weigh[(hashes % np.uint64(len(weigh))).astype(np.int64)]
                 samples = sampler.signatures(hashes, weights, begins).astype("<u4")
-                for d, own, row in zip(who[begins], samples, buckets_of(samples, choices), strict=True):
-                    kept[start + d], found[start + d] = own.tobytes(), row
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "samples": kept, "buckets": found}).astype({"doc_id": "Int64"})
+                sums = np.add.reduceat(weights, begins)
+                for d, own, row, w in zip(who[begins], samples, buckets_of(samples, choices), sums, strict=True):
+                    kept[start + d], found[start + d], total[start + d] = own.tobytes(), row, float(w)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "samples": kept, "weight": total, "buckets": found}).astype({"doc_id": "Int64", "weight": "Float64"})
 
-    return texts.select("doc_id", "key", "text").mapInPandas(sign, "doc_id long, key string, samples binary, buckets array<long>")
+    return texts.select("doc_id", "key", "text").mapInPandas(sign, "doc_id long, key string, samples binary, weight double, buckets array<long>")
 
 
-def narrowed(nodes: DataFrame, samples: int, narrow: int = NARROW, rows: int = NARROW_ROWS) -> DataFrame:
+def narrowed(nodes: DataFrame, samples: int, seed: int = SEED + 1, narrow: int = NARROW, rows: int = NARROW_ROWS) -> DataFrame:
     """The columns of ``nodes`` but its samples, and narrow buckets: random choices of ``rows`` samples."""
-    r = np.random.default_rng(SEED + 1)
+    r = np.random.default_rng(seed)
     choices = np.array([r.choice(samples, size=min(rows, samples), replace=False) for _ in range(narrow)])
     others = [c for c in nodes.columns if c != "samples"]
 
@@ -284,7 +288,7 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def classes(documents: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes(documents: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, turns: int = TURNS) -> DataFrame:
     """One row for each document (doc_id, text): doc_id, key, class_id, class_key, keep.
 
     ``key`` names the text; texts are in one class if links of at least ``similarity``
@@ -299,39 +303,46 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY, bands: int = B
     weigh = idf(frequencies, n)
     marks = staged(signed(texts, weigh, bands, rows), "dup-marks")
     # One node for each different text.
-    nodes = staged(marks.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("samples").alias("samples"), F.min("buckets").alias("buckets")), "dup-nodes")
-    members = nodes.select("key", "first_id", F.explode("buckets").alias("bucket"))
+    nodes = staged(marks.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("samples").alias("samples"), F.min("weight").alias("weight"), F.min("buckets").alias("buckets")), "dup-nodes")
+    members = nodes.select("key", "first_id", "weight", F.explode("buckets").alias("bucket"))
     shared = staged(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dup-shared").select(F.col("bucket").alias("c"), "n")
-    members = staged(members.join(shared, F.col("bucket") == F.col("c")).select("key", "first_id", "bucket", "n"), "dup-members")
+    members = staged(members.join(shared, F.col("bucket") == F.col("c")).select("key", "first_id", "weight", "bucket", "n"), "dup-members")
     wanted = staged(members.groupBy("key").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("degree")), "dup-wanted").select(F.col("key").alias("k"), F.col("first_id").alias("f"), "degree")
     # Neither side of the joins with texts has a bound, so neither is ever broadcast.
     read = texts.join(wanted.hint("merge"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("f"))).select("key", "text")
     read = staged(read.dropDuplicates(["key"]), "dup-texts")
 
-    members = staged(members.join(wanted.select("k", "degree"), F.col("key") == F.col("k")).select("key", "bucket", "degree"), "dup-members")
-    centres = staged(members.groupBy("bucket").agg(F.max(F.struct("degree", "key")).alias("top")), "dup-centres").select(F.col("bucket").alias("c"), F.col("top.key").alias("centre"))
-    starred = members.join(centres, F.col("bucket") == F.col("c")).where(F.col("key") != F.col("centre"))
-    pairs = starred.select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct()
+    members = staged(members.join(wanted.select("k", "degree"), F.col("key") == F.col("k")).select("key", "weight", "bucket", "degree"), "dup-members")
+    # Where texts share a passage and differ in the rest, the lightest is the likest to every other one.
+    centres = members.groupBy("bucket").agg(F.max(F.struct("degree", "key")).alias("top"), F.min(F.struct("weight", "key")).alias("light"))
+    centres = staged(centres.select(F.col("bucket").alias("c"), F.array_distinct(F.array("top.key", "light.key")).alias("centres")), "dup-centres")
+    starred = members.join(centres, F.col("bucket") == F.col("c")).select("key", F.explode("centres").alias("centre")).where(F.col("key") != F.col("centre"))
+    pairs = starred.select(F.greatest("key", "centre").alias("a"), F.least("key", "centre").alias("b")).distinct()
     tested = staged(verified(pairs, read, weigh), "dup-tested")
     roots = components(tested.where(F.col("similarity") >= similarity))
 
-    # Texts of buckets whose parts stay apart meet in narrow buckets, at two centres each.
-    label = roots.select(F.col("key").alias("k"), "root")
-    rooted = members.join(label, F.col("key") == F.col("k"), "left").select("key", "bucket", "degree", F.coalesce("root", "key").alias("root"))
-    rooted = staged(rooted, "dup-rooted")
-    split = staged(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high"), "dup-split").select(F.col("bucket").alias("c"))
-    apart = rooted.join(split, F.col("bucket") == F.col("c"), "left_semi").select("key", "degree", "root").distinct()
-    again = staged(apart.join(nodes.select(F.col("key").alias("k"), "samples"), F.col("key") == F.col("k")).select("key", "degree", "root", "samples"), "dup-apart")
-    narrow = narrowed(again, bands * rows).select("key", "degree", "root", F.explode("buckets").alias("bucket"))
-    narrow = staged(narrow, "dup-narrow")
-    ends = narrow.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("degree", "key", "root")).alias("one"), F.min(F.struct(F.xxhash64("key", "bucket").alias("h"), "key", "root")).alias("two")).where("low <> high")
-    ends = staged(ends.select(F.col("bucket").alias("c"), F.array(F.struct(F.col("one.key").alias("key"), F.col("one.root").alias("root")), F.struct(F.col("two.key").alias("key"), F.col("two.root").alias("root"))).alias("ends")), "dup-ends")
-    met = narrow.join(ends, F.col("bucket") == F.col("c")).select("key", "root", F.explode("ends").alias("e")).where(F.col("root") != F.col("e.root"))
-    new = met.select(F.greatest("key", "e.key").alias("a"), F.least("key", "e.key").alias("b")).distinct()
-    done = tested.select(F.greatest("a", "b").alias("ta"), F.least("a", "b").alias("tb"))
-    new = new.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-    fresh = staged(verified(new, read, weigh), "dup-tested")
-    roots = components(tested.unionByName(fresh).where(F.col("similarity") >= similarity))
+    # Texts of buckets whose parts stay apart meet in narrow buckets, at two centres each; each turn has other buckets.
+    for turn in range(turns):
+        label = roots.select(F.col("key").alias("k"), "root")
+        rooted = members.join(label, F.col("key") == F.col("k"), "left").select("key", "weight", "bucket", F.coalesce("root", "key").alias("root"))
+        rooted = staged(rooted, "dup-rooted")
+        split = staged(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high"), "dup-split").select(F.col("bucket").alias("c"))
+        apart = rooted.join(split, F.col("bucket") == F.col("c"), "left_semi").select("key", "weight", "root").distinct()
+        again = staged(apart.join(nodes.select(F.col("key").alias("k"), "samples"), F.col("key") == F.col("k")).select("key", "weight", "root", "samples"), "dup-apart")
+        narrow = narrowed(again, bands * rows, SEED + 1 + turn).select("key", "weight", "root", F.explode("buckets").alias("bucket"))
+        narrow = staged(narrow, "dup-narrow")
+        one, two = F.min(F.struct("weight", "key", "root")).alias("one"), F.min(F.struct(F.xxhash64("key", "bucket").alias("h"), "key", "root")).alias("two")
+        ends = narrow.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), one, two).where("low <> high")
+        ends = staged(ends.select(F.col("bucket").alias("c"), F.array(*[F.struct(F.col(f"{e}.key").alias("key"), F.col(f"{e}.root").alias("root")) for e in ("one", "two")]).alias("ends")), "dup-ends")
+        met = narrow.join(ends, F.col("bucket") == F.col("c")).select("key", F.explode(F.filter("ends", lambda e: e["root"] != F.col("root"))).alias("e"))
+        new = met.select(F.greatest("key", "e.key").alias("a"), F.least("key", "e.key").alias("b")).distinct()
+        done = tested.select(F.greatest("a", "b").alias("ta"), F.least("a", "b").alias("tb"))
+        new = new.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+        fresh = staged(verified(new, read, weigh), "dup-tested")
+        tested = tested.unionByName(fresh)
+        if not fresh.where(F.col("similarity") >= similarity).limit(1).count():
+            break
+        roots = components(tested.where(F.col("similarity") >= similarity))
 
     rooted = nodes.select("key", "first_id").join(roots.select(F.col("key").alias("k"), "root"), F.col("key") == F.col("k"), "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
     rooted = staged(rooted, "dup-rooted")
