@@ -32,12 +32,15 @@ MESSAGES = """
 # Fields as "message: number name type [scale/offset] [units] [+ if a counter]".
 FIELDS = """
 file_id: 0 type file|1 manufacturer manufacturer|2 product uint16|3 serial_number uint32z|4 time_created date_time|5 number uint16|8 product_name string
-session: 253 timestamp date_time 1/0 s|5 sport sport|10 total_cycles uint32 1/0 cycles|14 avg_speed uint16 1000/0 m/s|15 max_speed uint16 1000/0 m/s|124 enhanced_avg_speed uint32 1000/0 m/s|125 enhanced_max_speed uint32 1000/0 m/s
-record: 253 timestamp date_time 1/0 s|0 position_lat sint32 1/0 semicircles|1 position_long sint32 1/0 semicircles|2 altitude uint16 5/500 m|3 heart_rate uint8 1/0 bpm|4 cadence uint8 1/0 rpm|5 distance uint32 100/0 m|6 speed uint16 1000/0 m/s|7 power uint16 1/0 watts|8 compressed_speed_distance byte 100/0 m/s,m|9 grade sint16 100/0 %|13 temperature sint8 1/0 C|18 cycles uint8 1/0 cycles +|19 total_cycles uint32 1/0 cycles|28 compressed_accumulated_power uint16 1/0 watts +|29 accumulated_power uint32 1/0 watts|73 enhanced_speed uint32 1000/0 m/s|78 enhanced_altitude uint32 5/500 m
-event: 253 timestamp date_time 1/0 s|0 event event|1 event_type event_type|2 data16 uint16|3 data uint32|4 event_group uint8|7 score uint16|8 opponent_score uint16|9 front_gear_num uint8z|10 front_gear uint8z|11 rear_gear_num uint8z|12 rear_gear uint8z
+session: 254 message_index message_index|253 timestamp date_time 1/0 s|0 event event|1 event_type event_type|2 start_time date_time|5 sport sport|7 total_elapsed_time uint32 1000/0 s|8 total_timer_time uint32 1000/0 s|9 total_distance uint32 100/0 m|10 total_cycles uint32 1/0 cycles|14 avg_speed uint16 1000/0 m/s|15 max_speed uint16 1000/0 m/s|18 avg_cadence uint8 1/0 rpm|19 max_cadence uint8 1/0 rpm|49 avg_altitude uint16 5/500 m|50 max_altitude uint16 5/500 m|71 min_altitude uint16 5/500 m|124 enhanced_avg_speed uint32 1000/0 m/s|125 enhanced_max_speed uint32 1000/0 m/s|126 enhanced_avg_altitude uint32 5/500 m|127 enhanced_min_altitude uint32 5/500 m|128 enhanced_max_altitude uint32 5/500 m|147 avg_respiration_rate uint8|148 max_respiration_rate uint8|149 min_respiration_rate uint8|169 enhanced_avg_respiration_rate uint16 100/0 Breaths/min|170 enhanced_max_respiration_rate uint16 100/0 Breaths/min|180 enhanced_min_respiration_rate uint16 100/0
+lap: 254 message_index message_index|253 timestamp date_time 1/0 s|0 event event|1 event_type event_type|2 start_time date_time|7 total_elapsed_time uint32 1000/0 s|8 total_timer_time uint32 1000/0 s|9 total_distance uint32 100/0 m|10 total_cycles uint32 1/0 cycles|13 avg_speed uint16 1000/0 m/s|14 max_speed uint16 1000/0 m/s|17 avg_cadence uint8 1/0 rpm|18 max_cadence uint8 1/0 rpm|25 sport sport|42 avg_altitude uint16 5/500 m|43 max_altitude uint16 5/500 m|62 min_altitude uint16 5/500 m|110 enhanced_avg_speed uint32 1000/0 m/s|111 enhanced_max_speed uint32 1000/0 m/s|112 enhanced_avg_altitude uint32 5/500 m|113 enhanced_min_altitude uint32 5/500 m|114 enhanced_max_altitude uint32 5/500 m|136 enhanced_avg_respiration_rate uint16 100/0 Breaths/min|137 enhanced_max_respiration_rate uint16 100/0 Breaths/min|147 avg_respiration_rate uint8|148 max_respiration_rate uint8
+length: 254 message_index message_index|253 timestamp date_time|0 event event|1 event_type event_type|2 start_time date_time|3 total_elapsed_time uint32 1000/0 s|4 total_timer_time uint32 1000/0 s|22 enhanced_avg_respiration_rate uint16 100/0 Breaths/min|23 enhanced_max_respiration_rate uint16 100/0 Breaths/min|24 avg_respiration_rate uint8|25 max_respiration_rate uint8
+record: 253 timestamp date_time 1/0 s|0 position_lat sint32 1/0 semicircles|1 position_long sint32 1/0 semicircles|2 altitude uint16 5/500 m|3 heart_rate uint8 1/0 bpm|4 cadence uint8 1/0 rpm|5 distance uint32 100/0 m|6 speed uint16 1000/0 m/s|7 power uint16 1/0 watts|8 compressed_speed_distance byte 100/0 m/s,m|9 grade sint16 100/0 %|13 temperature sint8 1/0 C|18 cycles uint8 1/0 cycles +|19 total_cycles uint32 1/0 cycles|28 compressed_accumulated_power uint16 1/0 watts +|29 accumulated_power uint32 1/0 watts|73 enhanced_speed uint32 1000/0 m/s|78 enhanced_altitude uint32 5/500 m|99 respiration_rate uint8 1/0 s|108 enhanced_respiration_rate uint16 100/0 Breaths/min
+event: 253 timestamp date_time 1/0 s|0 event event|1 event_type event_type|2 data16 uint16|3 data uint32|4 event_group uint8|7 score uint16|8 opponent_score uint16|9 front_gear_num uint8z|10 front_gear uint8z|11 rear_gear_num uint8z|12 rear_gear uint8z|15 start_timestamp date_time 1/0 s|21 radar_threat_level_max radar_threat_level_type|22 radar_threat_count uint8|23 radar_threat_avg_approach_speed uint8 10/0 m/s|24 radar_threat_max_approach_speed uint8 10/0 m/s
+device_info: 253 timestamp date_time 1/0 s|0 device_index device_index|1 device_type uint8|2 manufacturer manufacturer|3 serial_number uint32z|4 product uint16|5 software_version uint16 100/0|6 hardware_version uint8|7 cum_operating_time uint32 1/0 s|10 battery_voltage uint16 256/0 V|11 battery_status battery_status|25 source_type source_type
 hr: 253 timestamp date_time|0 fractional_timestamp uint16 32768/0 s|1 time256 uint8 256/0 s|6 filtered_bpm uint8 1/0 bpm|9 event_timestamp uint32 1024/0 s +|10 event_timestamp_12 byte 1/0 s
 memo_glob: 250 part_index uint32|0 memo byte|1 mesg_num mesg_num|2 parent_index message_index|3 field_num uint8|4 data uint8z
-workout_step: 254 message_index message_index|0 wkt_step_name string|1 duration_type wkt_step_duration|2 duration_value uint32|3 target_type wkt_step_target|4 target_value uint32|8 notes string
+workout_step: 254 message_index message_index|0 wkt_step_name string|1 duration_type wkt_step_duration|2 duration_value uint32|3 target_type wkt_step_target|4 target_value uint32|5 custom_target_value_low uint32|6 custom_target_value_high uint32|7 intensity intensity|8 notes string|19 secondary_target_type wkt_step_target|20 secondary_target_value uint32|21 secondary_custom_target_value_low uint32|22 secondary_custom_target_value_high uint32
 field_description: 0 developer_data_index uint8|1 field_definition_number uint8|2 fit_base_type_id fit_base_type|3 field_name string|6 scale uint8|7 offset sint8|8 units string
 developer_data_id: 0 developer_id byte|1 application_id byte|3 developer_data_index uint8
 monitoring: 253 timestamp date_time 1/0 s|3 cycles uint32 2/0 cycles|5 activity_type activity_type|24 current_activity_type_intensity byte|28 intensity uint8
@@ -47,22 +50,53 @@ activity: 253 timestamp date_time|0 total_timer_time uint32 1000/0 s|1 num_sessi
 SUBFIELDS = """
 file_id.product: favero_product uint16 1 when manufacturer=263|garmin_product uint16 1 when manufacturer=1,15,13,89
 session.total_cycles: total_strides uint32 1 when sport=1,11|total_strokes uint32 1 when sport=2,5,15,37
-event.data: timer_trigger enum 1 when event=0|battery_level uint16 1000 when event=11|speed_high_alert uint32 1000 when event=15|distance_duration_alert uint32 100 when event=24|sport_point uint32 1 when event=33|gear_change_data uint32 1 when event=42,43
-workout_step.duration_value: duration_time uint32 1000 when duration_type=0,28|duration_distance uint32 100 when duration_type=1|duration_calories uint32 1 when duration_type=4
+session.avg_cadence: avg_running_cadence uint8 1 when sport=1
+session.max_cadence: max_running_cadence uint8 1 when sport=1
+lap.total_cycles: total_strides uint32 1 when sport=1,11|total_strokes uint32 1 when sport=2,5,15,37
+lap.avg_cadence: avg_running_cadence uint8 1 when sport=1
+lap.max_cadence: max_running_cadence uint8 1 when sport=1
+event.data: timer_trigger timer_trigger 1 when event=0|course_point_index message_index 1 when event=10|battery_level uint16 1000 when event=11|virtual_partner_speed uint16 1000 when event=12|hr_high_alert uint8 1 when event=13|hr_low_alert uint8 1 when event=14|speed_high_alert uint32 1000 when event=15|speed_low_alert uint32 1000 when event=16|cad_high_alert uint16 1 when event=17|cad_low_alert uint16 1 when event=18|power_high_alert uint16 1 when event=19|power_low_alert uint16 1 when event=20|time_duration_alert uint32 1000 when event=23|distance_duration_alert uint32 100 when event=24|calorie_duration_alert uint32 1 when event=25|fitness_equipment_state fitness_equipment_state 1 when event=27|sport_point uint32 1 when event=33|gear_change_data uint32 1 when event=42,43|rider_position rider_position_type 1 when event=44|comm_timeout comm_timeout_type 1 when event=47|dive_alert dive_alert 1 when event=56|auto_activity_detect_duration uint16 1 when event=54|radar_threat_alert uint32 1 when event=75
+event.start_timestamp: auto_activity_detect_start_timestamp date_time 1 when event=54
+device_info.device_type: ble_device_type ble_device_type 1 when source_type=3|antplus_device_type antplus_device_type 1 when source_type=1|ant_device_type uint8 1 when source_type=0|local_device_type local_device_type 1 when source_type=5
+device_info.product: favero_product uint16 1 when manufacturer=263|garmin_product uint16 1 when manufacturer=1,15,13,89
+workout_step.duration_value: duration_time uint32 1000 when duration_type=0,28|duration_distance uint32 100 when duration_type=1|duration_hr workout_hr 1 when duration_type=2,3|duration_calories uint32 1 when duration_type=4|duration_step uint32 1 when duration_type=6,7,8,9,10,11,12,13|duration_power workout_power 1 when duration_type=14,15|duration_reps uint32 1 when duration_type=29
+workout_step.target_value: target_speed_zone uint32 1 when target_type=0|target_hr_zone uint32 1 when target_type=1|target_cadence_zone uint32 1 when target_type=3|target_power_zone uint32 1 when target_type=4|repeat_steps uint32 1 when duration_type=6|repeat_time uint32 1000 when duration_type=7|repeat_distance uint32 100 when duration_type=8|repeat_calories uint32 1 when duration_type=9|repeat_hr workout_hr 1 when duration_type=10,11|repeat_power workout_power 1 when duration_type=12,13|target_stroke_type swim_stroke 1 when target_type=11
+workout_step.custom_target_value_low: custom_target_speed_low uint32 1000 when target_type=0|custom_target_heart_rate_low workout_hr 1 when target_type=1|custom_target_cadence_low uint32 1 when target_type=3|custom_target_power_low workout_power 1 when target_type=4
+workout_step.custom_target_value_high: custom_target_speed_high uint32 1000 when target_type=0|custom_target_heart_rate_high workout_hr 1 when target_type=1|custom_target_cadence_high uint32 1 when target_type=3|custom_target_power_high workout_power 1 when target_type=4
+workout_step.secondary_target_value: secondary_target_speed_zone uint32 1 when secondary_target_type=0|secondary_target_hr_zone uint32 1 when secondary_target_type=1|secondary_target_cadence_zone uint32 1 when secondary_target_type=3|secondary_target_power_zone uint32 1 when secondary_target_type=4|secondary_target_stroke_type swim_stroke 1 when secondary_target_type=11
+workout_step.secondary_custom_target_value_low: secondary_custom_target_speed_low uint32 1000 when secondary_target_type=0|secondary_custom_target_heart_rate_low workout_hr 1 when secondary_target_type=1|secondary_custom_target_cadence_low uint32 1 when secondary_target_type=3|secondary_custom_target_power_low workout_power 1 when secondary_target_type=4
+workout_step.secondary_custom_target_value_high: secondary_custom_target_speed_high uint32 1000 when secondary_target_type=0|secondary_custom_target_heart_rate_high workout_hr 1 when secondary_target_type=1|secondary_custom_target_cadence_high uint32 1 when secondary_target_type=3|secondary_custom_target_power_high workout_power 1 when secondary_target_type=4
 monitoring.cycles: steps uint32 1 when activity_type=6,1|strokes uint32 2 when activity_type=2,5
 """
 # Lanes from the lowest bit up, as "message.field[/sub-field]: name:bits", * where they accumulate.
 LANES = """
 session.avg_speed: enhanced_avg_speed:16
 session.max_speed: enhanced_max_speed:16
+session.avg_altitude: enhanced_avg_altitude:16
+session.max_altitude: enhanced_max_altitude:16
+session.min_altitude: enhanced_min_altitude:16
+session.avg_respiration_rate: enhanced_avg_respiration_rate:8
+session.max_respiration_rate: enhanced_max_respiration_rate:8
+session.min_respiration_rate: enhanced_min_respiration_rate:8
+lap.avg_speed: enhanced_avg_speed:16
+lap.max_speed: enhanced_max_speed:16
+lap.avg_altitude: enhanced_avg_altitude:16
+lap.max_altitude: enhanced_max_altitude:16
+lap.min_altitude: enhanced_min_altitude:16
+lap.avg_respiration_rate: enhanced_avg_respiration_rate:8
+lap.max_respiration_rate: enhanced_max_respiration_rate:8
+length.avg_respiration_rate: enhanced_avg_respiration_rate:8
+length.max_respiration_rate: enhanced_max_respiration_rate:8
 record.altitude: enhanced_altitude:16
 record.speed: enhanced_speed:16
 record.compressed_speed_distance: speed:12 distance:12*
 record.cycles: total_cycles:8*
 record.compressed_accumulated_power: accumulated_power:16*
+record.respiration_rate: enhanced_respiration_rate:8
 event.data16: data:16
 event.data/sport_point: score:16 opponent_score:16
 event.data/gear_change_data: rear_gear_num:8 rear_gear:8 front_gear_num:8 front_gear:8
+event.data/radar_threat_alert: radar_threat_level_max:8 radar_threat_count:8 radar_threat_avg_approach_speed:8 radar_threat_max_approach_speed:8
 monitoring.current_activity_type_intensity: activity_type:5 intensity:3
 hr.time256: fractional_timestamp:8
 """

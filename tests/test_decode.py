@@ -139,3 +139,15 @@ def test_catalogue_from_tables(spark):
     c = Catalogue.built_in()
     again = Catalogue.from_tables(*[c.table(spark, k) for k in ("messages", "fields", "subfields", "lanes", "enums")])
     assert sorted(again.fields) == sorted(c.fields) and sorted(again.lanes) == sorted(c.lanes)
+
+
+def test_built_in_catalogue_is_whole_within_itself():
+    c = Catalogue.built_in()
+    fields = {(m, name): fdn for m, fdn, name, *_ in c.fields}
+    numbers = {(m, fdn) for m, fdn, *_ in c.fields}
+    assert len(numbers) == len(c.fields)
+    assert all((m, fdn) in numbers and (m, ref) in numbers for m, fdn, *_, ref, _ in c.subfields)
+    assert len({(m, fdn, ref, v) for m, fdn, *_, ref, v in c.subfields}) == len(c.subfields)
+    # Each lane has a field to take its scale from, and each lane of a sub-field that sub-field.
+    subs = {(m, fdn, name) for m, fdn, _, name, *_ in c.subfields}
+    assert all((m, lane) in fields and (not sub or (m, fdn, sub) in subs) for m, fdn, sub, _, lane, *_ in c.lanes)
