@@ -103,9 +103,20 @@ hr.time256: fractional_timestamp:8
 LANES += "hr.event_timestamp_12: " + " ".join(["event_timestamp:12*"] * 10) + "\n"
 # Enumerations, as far as they are public here; the rest is a parameter.
 ENUMS = """
-file: 1 device|2 settings|3 sport|4 activity|5 workout|6 course
-manufacturer: 1 garmin
-sport: 1 running
+activity: 0 manual|1 auto_multi_sport
+activity_type: 0 generic|1 running|2 cycling|3 transition|4 fitness_equipment|5 swimming|6 walking|8 sedentary|254 all
+battery_status: 1 new|2 good|3 ok|4 low|5 critical|6 charging|7 unknown
+event: 0 timer|3 workout|4 workout_step|5 power_down|6 power_up|7 off_course|8 session|9 lap|10 course_point|11 battery|12 virtual_partner_pace|13 hr_high_alert|14 hr_low_alert|15 speed_high_alert|16 speed_low_alert|17 cad_high_alert|18 cad_low_alert|19 power_high_alert|20 power_low_alert|21 recovery_hr|22 battery_low|23 time_duration_alert|24 distance_duration_alert|25 calorie_duration_alert|26 activity|27 fitness_equipment|28 length|32 user_marker|33 sport_point|36 calibration|42 front_gear_change|43 rear_gear_change|44 rider_position_change|45 elev_high_alert|46 elev_low_alert|47 comm_timeout|54 auto_activity_detect|56 dive_alert|75 radar_threat_alert
+event_type: 0 start|1 stop|2 consecutive_depreciated|3 marker|4 stop_all|5 begin_depreciated|6 end_depreciated|7 end_all_depreciated|8 stop_disable|9 stop_disable_all
+file: 1 device|2 settings|3 sport|4 activity|5 workout|6 course|7 schedules|9 weight|10 totals|11 goals|14 blood_pressure|15 monitoring_a|20 activity_summary|28 monitoring_daily|32 monitoring_b|34 segment|35 segment_list|40 exd_configuration
+intensity: 0 active|1 rest|2 warmup|3 cooldown|4 recovery|5 interval|6 other
+manufacturer: 1 garmin|13 dynastream_oem|15 dynastream|89 tacx|263 favero_electronics
+source_type: 0 ant|1 antplus|2 bluetooth|3 bluetooth_low_energy|4 wifi|5 local
+sport: 0 generic|1 running|2 cycling|3 transition|4 fitness_equipment|5 swimming|6 basketball|7 soccer|8 tennis|9 american_football|10 training|11 walking|12 cross_country_skiing|13 alpine_skiing|14 snowboarding|15 rowing|16 mountaineering|17 hiking|18 multisport|19 paddling|20 flying|21 e_biking|22 motorcycling|23 boating|24 driving|25 golf|26 hang_gliding|27 horseback_riding|28 hunting|29 fishing|30 inline_skating|31 rock_climbing|32 sailing|33 ice_skating|34 sky_diving|35 snowshoeing|36 snowmobiling|37 stand_up_paddleboarding|38 surfing|39 wakeboarding|40 water_skiing|41 kayaking|42 rafting|43 windsurfing|44 kitesurfing|45 tactical|46 jumpmaster|47 boxing|48 floor_climbing
+swim_stroke: 0 freestyle|1 backstroke|2 breaststroke|3 butterfly|4 drill|5 mixed|6 im
+timer_trigger: 0 manual|1 auto|2 fitness_equipment
+wkt_step_duration: 0 time|1 distance|2 hr_less_than|3 hr_greater_than|4 calories|5 open|6 repeat_until_steps_cmplt|7 repeat_until_time|8 repeat_until_distance|9 repeat_until_calories|10 repeat_until_hr_less_than|11 repeat_until_hr_greater_than|12 repeat_until_power_less_than|13 repeat_until_power_greater_than|14 power_less_than|15 power_greater_than|28 repetition_time|29 reps
+wkt_step_target: 0 speed|1 heart_rate|2 open|3 cadence|4 power|5 grade|6 resistance|11 swim_stroke
 """
 
 
