@@ -202,10 +202,36 @@ class RecordingReader(DataSourceReader):
             yield (partition.value, k + 1, 0, False, None, 0, "error", None, None, None, e.code, None, None, None, str(e.detail), None, None, None, None)
 
 
+class SegmentTable:
+    """Rows of ``rec_segments(content)``: chain_idx, start, stop, and the error code that ended the hops."""
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        k = -1
+        try:
+            for k, start, stop in wire.segments(bytes(content or b"")):
+                yield k, start, stop, None
+        except RecordingError as e:
+            yield k + 1, None, None, e.code
+
+
+class FieldTable:
+    """Rows of ``rec_fields(path, content)``: the field table of one file's bytes."""
+
+    def eval(self, path: str, content: bytes) -> Iterator[tuple]:
+        data, k = bytes(content or b""), -1
+        try:
+            for k, start, _ in wire.segments(data):
+                yield from rows_of(path, k, data, start)
+        except RecordingError as e:
+            yield (path, k + 1, 0, False, None, 0, "error", None, None, None, e.code, None, None, None, str(e.detail), None, None, None, None)
+
+
 def register(spark: SparkSession) -> None:
-    """Make the source known to a session, and let filters reach it."""
+    """Make the source and the SQL table functions known to a session, and let filters reach the source."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordingSource)
+    spark.udtf.register("rec_segments", F.udtf(SegmentTable, returnType="chain_idx int, start long, stop long, code string"))
+    spark.udtf.register("rec_fields", F.udtf(FieldTable, returnType=FIELDS))
 
 
 def raw_messages(fields: DataFrame) -> DataFrame:

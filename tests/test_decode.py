@@ -113,6 +113,20 @@ def test_source_and_stream(spark, tmp_path):
     assert sum(seen) == files.count()
 
 
+def test_table_functions(spark, tmp_path):
+    data = sink.encode_segment([(20, RECORD, []), (0, [(0, "enum", "int", 4)], [])])
+    (tmp_path / "a.rec").write_bytes(data + data)
+    (tmp_path / "b.rec").write_bytes(b"none")
+    recording.register(spark)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    files.createOrReplaceTempView("rec_files")
+    hops = spark.sql("SELECT right(path, 5) AS name, s.* FROM rec_files, LATERAL rec_segments(content) s ORDER BY name, chain_idx").collect()
+    assert [(r["name"], r.chain_idx, r.start, r.code) for r in hops] == [("a.rec", 0, 0, None), ("a.rec", 1, len(data), None), ("b.rec", 0, None, "TooShort")]
+    rows = spark.sql("SELECT f.* FROM rec_files t, LATERAL rec_fields(t.path, t.content) f")
+    plain = recording.decoded(recording.segments(files))
+    assert rows.count() == plain.count() and rows.exceptAll(plain).count() == 0
+
+
 def test_live_totals(spark, tmp_path):
     (tmp_path / "in").mkdir()
     spark.createDataFrame([("a", i, (250 + 5 * i) % 256) for i in range(5)], "key string, seq long, value long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / "x"))
