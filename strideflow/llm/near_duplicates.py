@@ -3,11 +3,12 @@
 Texts become sets of five-word shingles, weighed by their count in the text and a smoothed
 inverse document frequency. Improved consistent weighted sampling draws from each weighted
 set samples that two sets share with the probability of their weighted Jaccard similarity;
-bands of samples put similar texts into common buckets. A bucket is never expanded into
-pairs: its members are held against one of them (a star), and those of buckets whose parts
-stay apart meet again in narrow buckets, at two centres each. Candidates
-are verified by the weighted Jaccard similarity itself; classes are the connected
-components of verified links.
+bands of samples put similar texts into common buckets. The members of a bucket are held
+against two of them first (stars). In buckets whose members are then in more than one
+component, all pairs of members from different components are verified, in blocks of
+members, without a row for each pair: two texts that share a bucket are compared or already
+linked. Candidates are verified by the weighted Jaccard similarity itself; classes are the
+connected components of verified links.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, staged, text_or_empty
+from .common import partitions, read_table, staged, text_or_empty
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -30,10 +31,8 @@ HASH_BITS = 44
 CHUNK = 1 << 20
 SEED = 5
 PARTS = 64
-#: Narrow buckets for texts whose first buckets stay apart: so many choices of so many of the samples.
-NARROW, NARROW_ROWS = 100, 10
-#: Turns with other narrow buckets each, at most; a turn that finds no link is the last.
-TURNS = 1
+#: Members of a bucket that are held against as many others at once.
+BLOCK = 512
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -222,22 +221,6 @@ def signed(texts: DataFrame, weigh: np.ndarray, bands: int = BANDS, rows: int =
     return texts.select("doc_id", "key", "text").mapInPandas(sign, "doc_id long, key string, samples binary, weight double, buckets array<long>")
 
 
-def narrowed(nodes: DataFrame, samples: int, seed: int = SEED + 1, narrow: int = NARROW, rows: int = NARROW_ROWS) -> DataFrame:
-    """The columns of ``nodes`` but its samples, and narrow buckets: random choices of ``rows`` samples."""
-    r = np.random.default_rng(seed)
-    choices = np.array([r.choice(samples, size=min(rows, samples), replace=False) for _ in range(narrow)])
-    others = [c for c in nodes.columns if c != "samples"]
-
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                own = np.stack([np.frombuffer(raw, "<u4") for raw in batch["samples"]])
-                yield batch[others].assign(buckets=list(buckets_of(own, choices)))
-
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields if f.name != "samples"]
-    return nodes.mapInPandas(choose, ", ".join([*fields, "buckets array<long>"]))
-
-
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two weighted sets (sorted hashes, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -270,6 +253,122 @@ def verified(pairs: DataFrame, texts: DataFrame, weigh: np.ndarray) -> DataFrame
     return both.mapInPandas(compare, "a string, b string, similarity double")
 
 
+def overlaps(who: np.ndarray, hashes: np.ndarray, tf: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
+    """The weight that each two of ``n`` sets share, from (set, hash, count, weight of one) of their elements."""
+    out = np.zeros(n * n)
+    _, at, many = np.unique(hashes, return_inverse=True, return_counts=True)
+    both = many[at] > 1
+    who, at, tf, unit = who[both], at[both], tf[both], unit[both]
+    if not len(who):
+        return out.reshape(n, n)
+    # The k-th occurrence is an element of its own, so the minimum of two counts is a number of common elements.
+    level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+    who, at, unit = np.repeat(who, tf), np.repeat(at, tf), np.repeat(unit, tf)
+    order = np.lexsort((who, level, at))
+    who, at, level, unit = who[order], at[order], level[order], unit[order]
+    begins = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (level[1:] != level[:-1])]))
+    sizes = np.diff(np.concatenate([begins, [len(who)]]))
+    dense = sizes * 7 > n
+    for size in np.unique(sizes[~dense & (sizes > 1)]):
+        first = begins[~dense & (sizes == size)]
+        step = max(1, CHUNK // int(size * size))
+        for k in range(0, len(first), step):
+            own = who[first[k : k + step, None] + np.arange(size)]
+            pairs = own[:, :, None] * n + own[:, None, :]
+            out += np.bincount(pairs.ravel(), np.repeat(unit[first[k : k + step]], size * size), minlength=n * n)
+    out = out.reshape(n, n)
+    wide = np.flatnonzero(dense & (sizes > 1))
+    step = max(64, 2 * CHUNK // n)
+    for k in range(0, len(wide), step):
+        part = wide[k : k + step]
+        held = np.zeros((n, len(part)))
+        rows = np.repeat(begins[part] - np.cumsum(sizes[part]) + sizes[part], sizes[part]) + np.arange(sizes[part].sum())
+        held[who[rows], np.repeat(np.arange(len(part)), sizes[part])] = 1
+        out += (held * unit[begins[part]]) @ held.T
+    return out
+
+
+def linked(shared: np.ndarray, weights: np.ndarray, roots: list[str], similarity: float) -> list[tuple[int, int]]:
+    """Links that join the sets of different roots as all pairs of at least ``similarity`` do, none of them twice."""
+    names, own = np.unique(np.array(roots, dtype=object), return_inverse=True)
+    whole = weights[:, None] + weights[None, :] - shared
+    a, b = np.nonzero((shared >= similarity * whole) & (own[:, None] < own[None, :]))
+    _, first = np.unique(own[a] * len(names) + own[b], return_index=True)
+    up, out = list(range(len(names))), []
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for i, j in zip(a[first].tolist(), b[first].tolist(), strict=True):
+        x, y = top(own[i]), top(own[j])
+        if x != y:
+            up[x] = y
+            out.append((i, j))
+    return out
+
+
+def blocks_of(rooted: DataFrame, size: int = BLOCK) -> DataFrame:
+    """key, root, bucket, low, high: the blocks in which members (key, root, bucket) of buckets with several roots meet.
+
+    Each two members of a bucket with different roots are in a common block. Members of
+    a bucket's largest root, in parts of about ``size``, meet the parts of the others,
+    which meet each other too: a member has a row for each part it meets, not for each member.
+    """
+    by_root = staged(rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")), "dup-root-sizes")
+    split = by_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    split = split.select(F.col("bucket").alias("c"), F.col("top.root").alias("most"), F.ceil(F.col("top.n") / size).cast("long").alias("tops"), F.ceil((F.col("n") - F.col("top.n")) / size).cast("long").alias("others"))
+    split = staged(split, "dup-split")
+    inside = rooted.join(split, F.col("bucket") == F.col("c"))
+    salt, none = F.xxhash64("key", "bucket"), F.lit(0).cast("long")
+    in_top = F.col("root") == F.col("most")
+    part = F.when(in_top, -1 - F.pmod(salt, F.col("tops"))).otherwise(F.pmod(salt, F.col("others")))
+    met = F.sequence(F.when(in_top, none).otherwise(-F.col("tops")), F.col("others") - 1)
+    dealt = inside.withColumn("part", part).withColumn("other", F.explode(met))
+    return dealt.select("key", "root", "bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+
+
+def resolved(blocks: DataFrame, texts: DataFrame, weigh: np.ndarray, similarity: float) -> DataFrame:
+    """Links (a, b) between members of different roots in each block; all pairs of them are verified."""
+    block = ["bucket", "low", "high"]
+    held = blocks.join(texts.select(F.col("key").alias("k"), "text").hint("merge"), F.col("key") == F.col("k")).select(*block, "key", "root", "text")
+    held = held.repartition(4 * partitions(blocks.sparkSession), *block).sortWithinPartitions(*block)
+
+    def links(shingler: Shingler, rows: pd.DataFrame) -> list[tuple[str, str]]:
+        roots = rows["root"].tolist()
+        if len(set(roots)) < 2:
+            return []
+        found = []
+        for start, chunk in chunked(rows["text"].tolist()):
+            who, hashes, tf = shingler.shingles(chunk)
+            found.append((who + start, hashes, tf, weigh[(hashes % np.uint64(len(weigh))).astype(np.int64)]))
+        who, hashes, tf, unit = (np.concatenate(x) for x in zip(*found, strict=True))
+        keys = rows["key"].tolist()
+        shared = overlaps(who, hashes, tf, unit, len(rows))
+        return [(keys[i], keys[j]) for i, j in linked(shared, np.bincount(who, tf * unit, minlength=len(rows)), roots, similarity)]
+
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler()
+        open_: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            out = []
+            at = batch[block].to_numpy()
+            begins = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)])).tolist()
+            for start, end in zip(begins, [*begins[1:], len(batch)], strict=True):
+                if open_ and tuple(open_[-1][block].iloc[-1]) != tuple(at[start]):
+                    out += links(shingler, pd.concat(open_))
+                    open_ = []
+                open_.append(batch.iloc[start:end])
+            yield pd.DataFrame(out, columns=["a", "b"])
+        if open_:
+            yield pd.DataFrame(links(shingler, pd.concat(open_)), columns=["a", "b"])
+
+    return held.mapInPandas(resolve, "a string, b string")
+
+
 def components(links: DataFrame) -> DataFrame:
     """key and root (the smallest key it is linked with, over any number of links) for the keys of ``links`` (a, b)."""
     both = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "dup-links")
@@ -288,7 +387,7 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def classes(documents: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, turns: int = TURNS) -> DataFrame:
+def classes(documents: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each document (doc_id, text): doc_id, key, class_id, class_key, keep.
 
     ``key`` names the text; texts are in one class if links of at least ``similarity``
@@ -321,28 +420,13 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY, bands: int = B
     tested = staged(verified(pairs, read, weigh), "dup-tested")
     roots = components(tested.where(F.col("similarity") >= similarity))
 
-    # Texts of buckets whose parts stay apart meet in narrow buckets, at two centres each; each turn has other buckets.
-    for turn in range(turns):
-        label = roots.select(F.col("key").alias("k"), "root")
-        rooted = members.join(label, F.col("key") == F.col("k"), "left").select("key", "weight", "bucket", F.coalesce("root", "key").alias("root"))
-        rooted = staged(rooted, "dup-rooted")
-        split = staged(rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high"), "dup-split").select(F.col("bucket").alias("c"))
-        apart = rooted.join(split, F.col("bucket") == F.col("c"), "left_semi").select("key", "weight", "root").distinct()
-        again = staged(apart.join(nodes.select(F.col("key").alias("k"), "samples"), F.col("key") == F.col("k")).select("key", "weight", "root", "samples"), "dup-apart")
-        narrow = narrowed(again, bands * rows, SEED + 1 + turn).select("key", "weight", "root", F.explode("buckets").alias("bucket"))
-        narrow = staged(narrow, "dup-narrow")
-        one, two = F.min(F.struct("weight", "key", "root")).alias("one"), F.min(F.struct(F.xxhash64("key", "bucket").alias("h"), "key", "root")).alias("two")
-        ends = narrow.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), one, two).where("low <> high")
-        ends = staged(ends.select(F.col("bucket").alias("c"), F.array(*[F.struct(F.col(f"{e}.key").alias("key"), F.col(f"{e}.root").alias("root")) for e in ("one", "two")]).alias("ends")), "dup-ends")
-        met = narrow.join(ends, F.col("bucket") == F.col("c")).select("key", F.explode(F.filter("ends", lambda e: e["root"] != F.col("root"))).alias("e"))
-        new = met.select(F.greatest("key", "e.key").alias("a"), F.least("key", "e.key").alias("b")).distinct()
-        done = tested.select(F.greatest("a", "b").alias("ta"), F.least("a", "b").alias("tb"))
-        new = new.join(done, (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-        fresh = staged(verified(new, read, weigh), "dup-tested")
-        tested = tested.unionByName(fresh)
-        if not fresh.where(F.col("similarity") >= similarity).limit(1).count():
-            break
-        roots = components(tested.where(F.col("similarity") >= similarity))
+    # What shares a bucket and is not linked yet: all pairs of different components.
+    label = roots.select(F.col("key").alias("k"), "root")
+    rooted = members.join(label, F.col("key") == F.col("k"), "left").select("key", "bucket", F.coalesce("root", "key").alias("root"))
+    blocks = staged(blocks_of(staged(rooted, "dup-rooted")), "dup-blocks")
+    fresh = staged(resolved(blocks, read, weigh, similarity).distinct(), "dup-resolved")
+    if fresh.limit(1).count():
+        roots = components(tested.where(F.col("similarity") >= similarity).select("a", "b").unionByName(fresh))
 
     rooted = nodes.select("key", "first_id").join(roots.select(F.col("key").alias("k"), "root"), F.col("key") == F.col("k"), "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
     rooted = staged(rooted, "dup-rooted")

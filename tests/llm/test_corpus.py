@@ -202,6 +202,52 @@ def test_near_copies_without_pair_expansion(spark):
     assert got.class_id.nunique() == 1
 
 
+def test_near_duplicates_link_all_that_share_a_bucket(spark):
+    """Classes are the components of all pairs in a bucket with a weighted similarity of 0.8, by brute force."""
+    r = random.Random(10)
+    base, texts = words(r, 160).split(), []
+    for _ in range(150):  # families of two or three, all with one passage; families are under 0.8 to each other
+        tail = words(r, 16).split()
+        for _ in range(r.randint(2, 3)):
+            own = list(tail)
+            own[r.randrange(len(own))] = words(r, 1)
+            texts.append(" ".join(base + own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.md5("text"))
+    weigh = near_duplicates.idf(*near_duplicates.document_frequencies(docs))
+    buckets = {x.doc_id: set(x.buckets) for x in near_duplicates.signed(docs, weigh).collect()}
+    sets = []
+    for t in texts:
+        _, hashes, tf = near_duplicates.Shingler().shingles([t])
+        sets.append((hashes, tf * weigh[(hashes % np.uint64(len(weigh))).astype(np.int64)]))
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and buckets[a] & buckets[b] and near_duplicates.weighted_jaccard(sets[a], sets[b]) >= 0.8:
+                root = [root[b] if x == root[a] else x for x in root]
+    got = {x.doc_id: x.class_id for x in near_duplicates.classes(docs).collect()}
+    least = {}
+    for i, x in enumerate(root):
+        least.setdefault(x, i)
+    assert [got[i] for i in range(len(texts))] == [least[x] for x in root]
+    assert 20 < len(least) < len(texts) - 20
+
+
+def test_shared_weights_of_a_block():
+    r = np.random.default_rng(3)
+    sets = [(np.sort(r.choice(60, r.integers(5, 40), replace=False)).astype(np.uint64), r.integers(1, 4, 60)) for _ in range(50)]
+    unit = r.uniform(1, 2, 60)
+    who = np.concatenate([np.full(len(h), i) for i, (h, _) in enumerate(sets)])
+    hashes = np.concatenate([h for h, _ in sets])
+    tf = np.concatenate([t[: len(h)] for h, t in sets])
+    got = near_duplicates.overlaps(who, hashes, tf, unit[hashes.astype(int)], 50)
+    for a in range(50):
+        for b in range(50):
+            full = [dict(zip(h.tolist(), t.tolist(), strict=False)) for h, t in (sets[a], sets[b])]
+            want = sum(min(n, full[1].get(h, 0)) * unit[h] for h, n in full[0].items())
+            if a != b:
+                assert abs(got[a, b] - want) < 1e-9
+
+
 def test_sampling_estimates_weighted_jaccard():
     r = np.random.default_rng(1)
     a, b = r.uniform(0.5, 3, 300), r.uniform(0.5, 3, 300)
