@@ -13,6 +13,7 @@ connected components of verified links.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +26,11 @@ from .common import partitions, read_table, staged, text_or_empty
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
-#: Document frequencies are counted in so many cells, whatever the corpus: a table of fixed size.
-CELLS = 1 << 18
 HASH_BITS = 44
 CHUNK = 1 << 20
 SEED = 5
-PARTS = 64
+#: Rows of a chunk, whose shingles are asked for and answered together.
+ROWS_A_CHUNK = 2048
 #: Members of a bucket that are held against as many others at once.
 BLOCK = 512
 
@@ -116,38 +116,65 @@ def chunked(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield start, kept
 
 
-def document_frequencies(texts: DataFrame, cells: int = CELLS) -> tuple[np.ndarray, int]:
-    """Documents that hold each cell's shingles, and the number of documents; over all of ``texts``."""
-    part = cells // PARTS
+def in_chunks(texts: DataFrame, rows: int = ROWS_A_CHUNK) -> DataFrame:
+    """``texts`` written once, with ``chunk``: a number that up to ``rows`` successive rows share."""
+    at = F.monotonically_increasing_id()
+    part, row = F.shiftright(at, 33), F.pmod(at, F.lit(1 << 33))
+    return staged(texts.withColumn("chunk", part * F.lit(1 << 32) + F.floor(row / F.lit(rows)).cast("long")), "dup-chunks")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, seen, rows = Shingler(), np.zeros(cells, dtype=np.int64), 0
-        for batch in batches:
-            for _, chunk in chunked(batch["text"].tolist()):
-                seen += np.bincount((shingler.shingles(chunk)[1] % np.uint64(cells)).astype(np.int64), minlength=cells)
-                rows += len(chunk)
-        yield pd.DataFrame({"part": [*range(PARTS), -1], "seen": [*(s.astype("<i8").tobytes() for s in np.split(seen, PARTS)), np.int64(rows).tobytes()]})
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+def document_frequencies(chunks: DataFrame) -> DataFrame:
+    """chunk, hashes, seen: for the shingles of each chunk that more than one document holds, how many do.
+
+    Each shingle is counted by itself, over all of ``chunks`` (chunk, text), in the part of
+    its hash; what is not in an answer is in one document. A chunk names each of its
+    shingles once, so a common one is a row of numbers as long as the chunks are many.
+    """
+    parts = partitions(chunks.sparkSession)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler()
         for batch in batches:
-            for k, raw in zip(batch["part"], batch["seen"], strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, "<i8")
-        yield pd.DataFrame({"part": list(sums), "seen": [v.tobytes() for v in sums.values()]})
+            for number, own in batch.groupby("chunk")["text"]:
+                found = [shingler.shingles(chunk)[1] for _, chunk in chunked(own.tolist())]
+                hashes, seen = np.unique(np.concatenate(found), return_counts=True)
+                part = (mixed(hashes) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                ends = np.searchsorted(part[order], np.arange(parts + 1))
+                filled = np.flatnonzero(ends[1:] > ends[:-1])
+                raw = np.ascontiguousarray(hashes[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])  # HASH_BITS
+                count = seen[order].astype("<u4")
+                cut = [slice(ends[k], ends[k + 1]) for k in filled]
+                if not len(filled):
+                    continue
+                yield pd.DataFrame({"part": filled, "chunk": number, "hashes": [raw[c].tobytes() for c in cut], "seen": [zlib.compress(count[c].tobytes(), 1) for c in cut]})
 
-    parts = texts.select("text").mapInPandas(count, "part int, seen binary").repartition(PARTS, "part").mapInPandas(add, "part int, seen binary")
-    out, rows = np.zeros(cells, dtype=np.int64), 0
-    for r in parts.collect():  # PARTS + 1 rows, 8 bytes a cell
-        got = np.frombuffer(bytes(r["seen"]), "<i8")
-        if r["part"] < 0:
-            rows += int(got[0])
-        else:
-            out[r["part"] * part : (r["part"] + 1) * part] += got
-    return out, rows
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers, hashes, seen = [], [], []
+        for batch in batches:
+            for number, raw, count in zip(batch["chunk"], batch["hashes"], batch["seen"], strict=True):
+                wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+                wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+                numbers.append(number)
+                hashes.append(wide.view("<u8").ravel())
+                seen.append(np.frombuffer(zlib.decompress(count), "<u4"))
+        if not numbers:
+            return
+        ends = np.cumsum([len(h) for h in hashes])
+        every = np.concatenate(hashes)
+        _, at = np.unique(every, return_inverse=True)
+        sums = np.bincount(at, np.concatenate(seen)).astype("<u4")[at]
+        for number, start, end in zip(numbers, [0, *ends[:-1]], ends, strict=True):
+            many = np.flatnonzero(sums[start:end] > 1) + start
+            if len(many):
+                yield pd.DataFrame({"chunk": [number], "hashes": [every[many].tobytes()], "seen": [zlib.compress(sums[many].tobytes(), 1)]})
+
+    asked = chunks.select("chunk", "text").mapInPandas(ask, "part int, chunk long, hashes binary, seen binary")
+    return asked.repartition(parts, "part").mapInPandas(answer, "chunk long, hashes binary, seen binary")
 
 
 def idf(frequencies: np.ndarray, rows: int) -> np.ndarray:
-    """Smoothed inverse document frequency by cell: 1 for what every document has, 2 for what one has."""
+    """Smoothed inverse document frequency: 1 for what every document has, 2 for what one has."""
     return 1 + np.clip(np.log(max(rows, 1) / np.maximum(frequencies, 1)), 0, None) / np.log(rows + 2)
 
 
@@ -196,29 +223,47 @@ def buckets_of(samples: np.ndarray, choices: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def signed(texts: DataFrame, weigh: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, key, the samples and total weight (null where a text has no words) and the bucket of each band."""
+def signed(chunks: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, key, the samples, total weight and document frequencies (null where a text has no words) and the bucket of each band.
+
+    ``chunks``: doc_id, key, text, chunk, of ``n`` rows. ``seen`` holds the frequencies of a
+    text's shingles in the order of their hashes, for ``weighed``.
+    """
     choices = np.arange(bands * rows).reshape(bands, rows)
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         shingler, sampler = Shingler(), Sampler(bands * rows)
-        for batch in batches:
-            kept: list = [None] * len(batch)
-            found: list = [[]] * len(batch)
-            total: list = [None] * len(batch)
-            for start, chunk in chunked(batch["text"].tolist()):
-                who, hashes, tf = shingler.shingles(chunk)
-                if not len(who):
-                    continue
-                begins = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-                weights = tf * weigh[(hashes % np.uint64(len(weigh))).astype(np.int64)]
-                samples = sampler.signatures(hashes, weights, begins).astype("<u4")
-                sums = np.add.reduceat(weights, begins)
-                for d, own, row, w in zip(who[begins], samples, buckets_of(samples, choices), sums, strict=True):
-                    kept[start + d], found[start + d], total[start + d] = own.tobytes(), row, float(w)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "samples": kept, "weight": total, "buckets": found}).astype({"doc_id": "Int64", "weight": "Float64"})
+        many = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(raw, "<u8") for raw in answers["hashes"])])
+        times = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(zlib.decompress(raw), "<u4") for raw in answers["seen"])])
+        # A chunk that lay in two batches has asked twice for what both hold, and has the same answer twice.
+        order = np.argsort(many)
+        many, times = np.append(many[order], np.uint64(1 << 63)), np.append(times[order], 1)
+        kept: list = [None] * len(batch)
+        found: list = [[]] * len(batch)
+        total: list = [None] * len(batch)
+        seen: list = [None] * len(batch)
+        for start, chunk in chunked(batch["text"].tolist()):
+            who, hashes, tf = shingler.shingles(chunk)
+            if not len(who):
+                continue
+            begins = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+            at = np.searchsorted(many, hashes)
+            held = np.where(many[at] == hashes, times[at], 1).astype("<u4")
+            weights = tf * idf(held, n)
+            samples = sampler.signatures(hashes, weights, begins).astype("<u4")
+            sums = np.add.reduceat(weights, begins)
+            for d, own, row, w, df in zip(who[begins], samples, buckets_of(samples, choices), sums, np.split(held, begins[1:]), strict=True):
+                kept[start + d], found[start + d], total[start + d], seen[start + d] = own.tobytes(), row, float(w), zlib.compress(df.tobytes(), 1)
+        return pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "samples": kept, "weight": total, "seen": seen, "buckets": found}).astype({"doc_id": "Int64", "weight": "Float64"})
+
+    both = chunks.select("chunk", "doc_id", "key", "text").groupBy("chunk").cogroup(document_frequencies(chunks).groupBy("chunk"))
+    return both.applyInPandas(sign, "doc_id long, key string, samples binary, weight double, seen binary, buckets array<long>")
 
-    return texts.select("doc_id", "key", "text").mapInPandas(sign, "doc_id long, key string, samples binary, weight double, buckets array<long>")
+
+def weighed(shingler: Shingler, text: str, seen: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts and weights of one of each shingle of a text with the frequencies ``seen``, among ``n`` documents."""
+    _, hashes, tf = shingler.shingles([text])
+    return hashes, tf, idf(np.frombuffer(zlib.decompress(seen), "<u4"), n)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -229,25 +274,25 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(low / whole) if whole > 0 else 1.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weigh: np.ndarray) -> DataFrame:
-    """a, b and the weighted Jaccard similarity of each pair of keys (a, b). ``texts``: key, text, one row a key."""
-    left = pairs.join(texts.select(F.col("key").alias("ka"), F.col("text").alias("ta")).hint("merge"), F.col("a") == F.col("ka")).select("a", "b", "ta")
-    both = left.join(texts.select(F.col("key").alias("kb"), F.col("text").alias("tb")).hint("merge"), F.col("b") == F.col("kb")).select("a", "b", "ta", "tb")
+def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """a, b and the weighted Jaccard similarity of each pair of keys (a, b). ``texts``: key, text, seen, one row a key."""
+    left = pairs.join(texts.select(F.col("key").alias("ka"), F.col("text").alias("ta"), F.col("seen").alias("sa")).hint("merge"), F.col("a") == F.col("ka")).select("a", "b", "ta", "sa")
+    both = left.join(texts.select(F.col("key").alias("kb"), F.col("text").alias("tb"), F.col("seen").alias("sb")).hint("merge"), F.col("b") == F.col("kb")).select("a", "b", "ta", "sa", "tb", "sb")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         last: tuple[str | None, tuple] = (None, ())
 
-        def weighed(text: str) -> tuple[np.ndarray, np.ndarray]:
-            _, hashes, tf = shingler.shingles([text])
-            return hashes, tf * weigh[(hashes % np.uint64(len(weigh))).astype(np.int64)]
+        def weights(text: str, seen: bytes) -> tuple[np.ndarray, np.ndarray]:
+            hashes, tf, unit = weighed(shingler, text, seen, n)
+            return hashes, tf * unit
 
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
                 if last[0] != r.b:
-                    last = (r.b, weighed(r.tb))
-                out.append(weighted_jaccard(weighed(r.ta), last[1]))
+                    last = (r.b, weights(r.tb, r.sb))
+                out.append(weighted_jaccard(weights(r.ta, r.sa), last[1]))
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": out})
 
     return both.mapInPandas(compare, "a string, b string, similarity double")
@@ -329,10 +374,10 @@ def blocks_of(rooted: DataFrame, size: int = BLOCK) -> DataFrame:
     return dealt.select("key", "root", "bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
 
 
-def resolved(blocks: DataFrame, texts: DataFrame, weigh: np.ndarray, similarity: float) -> DataFrame:
+def resolved(blocks: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
     """Links (a, b) between members of different roots in each block; all pairs of them are verified."""
     block = ["bucket", "low", "high"]
-    held = blocks.join(texts.select(F.col("key").alias("k"), "text").hint("merge"), F.col("key") == F.col("k")).select(*block, "key", "root", "text")
+    held = blocks.join(texts.select(F.col("key").alias("k"), "text", "seen").hint("merge"), F.col("key") == F.col("k")).select(*block, "key", "root", "text", "seen")
     held = held.repartition(4 * partitions(blocks.sparkSession), *block).sortWithinPartitions(*block)
 
     def links(shingler: Shingler, rows: pd.DataFrame) -> list[tuple[str, str]]:
@@ -340,9 +385,9 @@ def resolved(blocks: DataFrame, texts: DataFrame, weigh: np.ndarray, similarity:
         if len(set(roots)) < 2:
             return []
         found = []
-        for start, chunk in chunked(rows["text"].tolist()):
-            who, hashes, tf = shingler.shingles(chunk)
-            found.append((who + start, hashes, tf, weigh[(hashes % np.uint64(len(weigh))).astype(np.int64)]))
+        for i, (text, seen) in enumerate(zip(rows["text"], rows["seen"], strict=True)):
+            hashes, tf, unit = weighed(shingler, text, seen, n)
+            found.append((np.full(len(hashes), i), hashes, tf, unit))
         who, hashes, tf, unit = (np.concatenate(x) for x in zip(*found, strict=True))
         keys = rows["key"].tolist()
         shared = overlaps(who, hashes, tf, unit, len(rows))
@@ -398,18 +443,19 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY, bands: int = B
     not read. An empty table gives an empty result.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("key", F.md5("text"))
-    frequencies, n = document_frequencies(texts)
-    weigh = idf(frequencies, n)
-    marks = staged(signed(texts, weigh, bands, rows), "dup-marks")
+    texts = in_chunks(texts)
+    total = texts.count()
+    marks = staged(signed(texts, total, bands, rows), "dup-marks")
     # One node for each different text.
-    nodes = staged(marks.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("samples").alias("samples"), F.min("weight").alias("weight"), F.min("buckets").alias("buckets")), "dup-nodes")
+    nodes = staged(marks.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("seen").alias("seen"), F.min("weight").alias("weight"), F.min("buckets").alias("buckets")), "dup-nodes")
     members = nodes.select("key", "first_id", "weight", F.explode("buckets").alias("bucket"))
     shared = staged(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dup-shared").select(F.col("bucket").alias("c"), "n")
     members = staged(members.join(shared, F.col("bucket") == F.col("c")).select("key", "first_id", "weight", "bucket", "n"), "dup-members")
     wanted = staged(members.groupBy("key").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("degree")), "dup-wanted").select(F.col("key").alias("k"), F.col("first_id").alias("f"), "degree")
     # Neither side of the joins with texts has a bound, so neither is ever broadcast.
     read = texts.join(wanted.hint("merge"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("f"))).select("key", "text")
-    read = staged(read.dropDuplicates(["key"]), "dup-texts")
+    seen = nodes.select(F.col("key").alias("k"), "seen").hint("merge")
+    read = staged(read.dropDuplicates(["key"]).join(seen, F.col("key") == F.col("k")).select("key", "text", "seen"), "dup-texts")
 
     members = staged(members.join(wanted.select("k", "degree"), F.col("key") == F.col("k")).select("key", "weight", "bucket", "degree"), "dup-members")
     # Where texts share a passage and differ in the rest, the lightest is the likest to every other one.
@@ -417,14 +463,14 @@ def classes(documents: DataFrame, similarity: float = SIMILARITY, bands: int = B
     centres = staged(centres.select(F.col("bucket").alias("c"), F.array_distinct(F.array("top.key", "light.key")).alias("centres")), "dup-centres")
     starred = members.join(centres, F.col("bucket") == F.col("c")).select("key", F.explode("centres").alias("centre")).where(F.col("key") != F.col("centre"))
     pairs = starred.select(F.greatest("key", "centre").alias("a"), F.least("key", "centre").alias("b")).distinct()
-    tested = staged(verified(pairs, read, weigh), "dup-tested")
+    tested = staged(verified(pairs, read, total), "dup-tested")
     roots = components(tested.where(F.col("similarity") >= similarity))
 
     # What shares a bucket and is not linked yet: all pairs of different components.
     label = roots.select(F.col("key").alias("k"), "root")
     rooted = members.join(label, F.col("key") == F.col("k"), "left").select("key", "bucket", F.coalesce("root", "key").alias("root"))
     blocks = staged(blocks_of(staged(rooted, "dup-rooted")), "dup-blocks")
-    fresh = staged(resolved(blocks, read, weigh, similarity).distinct(), "dup-resolved")
+    fresh = staged(resolved(blocks, read, total, similarity).distinct(), "dup-resolved")
     if fresh.limit(1).count():
         roots = components(tested.where(F.col("similarity") >= similarity).select("a", "b").unionByName(fresh))
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -202,6 +203,25 @@ def test_near_copies_without_pair_expansion(spark):
     assert got.class_id.nunique() == 1
 
 
+def exact_sets(texts):
+    """Shingle hashes and weights of each text, by document frequencies counted one by one."""
+    found = [near_duplicates.Shingler().shingles([t])[1:] for t in texts]
+    df = Counter(h for hashes, _ in found for h in hashes.tolist())
+    return [(hashes, tf * near_duplicates.idf(np.array([df[h] for h in hashes.tolist()]), len(texts))) for hashes, tf in found]
+
+
+def test_document_frequencies_are_exact(spark):
+    """More different shingles than any table of fixed size had cells; the weight of each text is as counted one by one."""
+    r = random.Random(15)
+    passage = words(r, 40)
+    texts = [words(r, 2500) + (" " + passage if i % 3 == 0 else "") for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).withColumn("key", F.md5("text"))
+    got = {x.doc_id: x.weight for x in near_duplicates.signed(near_duplicates.in_chunks(docs, 16), len(texts)).collect()}
+    want = exact_sets(texts)
+    assert len({h for hashes, _ in want for h in hashes.tolist()}) > 1 << 18
+    assert all(abs(got[i] - w.sum()) < 1e-6 for i, (_, w) in enumerate(want))
+
+
 def test_near_duplicates_link_all_that_share_a_bucket(spark):
     """Classes are the components of all pairs in a bucket with a weighted similarity of 0.8, by brute force."""
     r = random.Random(10)
@@ -213,12 +233,8 @@ def test_near_duplicates_link_all_that_share_a_bucket(spark):
             own[r.randrange(len(own))] = words(r, 1)
             texts.append(" ".join(base + own))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.md5("text"))
-    weigh = near_duplicates.idf(*near_duplicates.document_frequencies(docs))
-    buckets = {x.doc_id: set(x.buckets) for x in near_duplicates.signed(docs, weigh).collect()}
-    sets = []
-    for t in texts:
-        _, hashes, tf = near_duplicates.Shingler().shingles([t])
-        sets.append((hashes, tf * weigh[(hashes % np.uint64(len(weigh))).astype(np.int64)]))
+    buckets = {x.doc_id: set(x.buckets) for x in near_duplicates.signed(near_duplicates.in_chunks(docs), len(texts)).collect()}
+    sets = exact_sets(texts)
     root = list(range(len(texts)))
     for a in range(len(texts)):
         for b in range(a):
