@@ -5,8 +5,9 @@ rows) and goes to the shard where the dot product with the shard's residual capa
 highest. Placing is sequential by nature, so it runs over a bounded number of items:
 groups are bundled by a hash of their text into ``bundles_per_shard`` bundles a shard, and
 only groups that alone exceed a bundle's share are items of their own. Those heavy groups
-are bounded in number by the same ratio; where one exceeds a bundle's share it is cut
-into pieces, as a group that holds a third of all rows fits in no shard of forty.
+are bounded in number by the same ratio, and are placed whole. Only a group above ``CUT``, half
+of a shard's bytes, is cut into pieces of about that size, as a group that holds a third of
+all rows fits in no shard of forty.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from .common import group_rows, read_table, staged, text_or_empty, unit_hash, wi
 ROW_OVERHEAD = 16
 SHARDS = 40
 BUNDLES_PER_SHARD = 256
+#: The share of a shard's bytes above which a group of equal texts is cut.
+CUT = 0.5
+#: What bytes, tokens and rows weigh in the product.
+RESOURCES = (1.0, 0.02, 0.02)
 #: The text's share of a row's tokens: white-space separated words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -71,7 +76,7 @@ def shard(documents: DataFrame, shards: int = SHARDS, bundles_per_shard: int = B
     total, n_rows = whole[0] or 0, whole[1] or 0
     most = max(total // n_items, 1)
     # A heavy group is one above a bundle's share, so there are fewer than n_items of them.
-    heavy = groups.where(F.col("bytes") > most).withColumn("pieces", F.least(F.ceil(F.col("bytes") / most), F.col("rows")))
+    heavy = groups.where(F.col("bytes") > most).withColumn("pieces", F.least(F.ceil(F.col("bytes") / F.lit(max(total * CUT / shards, 1.0))), F.col("rows")))
     cut = heavy.where("rows > 1 and pieces > 1").select(F.col("__group").alias("__heavy"), "pieces")
     alone = heavy.where("rows = 1 or pieces = 1").select(F.col("__group").alias("__heavy"), F.lit(1).cast("long").alias("pieces"))
     heavy_map = F.broadcast(cut.unionByName(alone))
@@ -82,9 +87,9 @@ def shard(documents: DataFrame, shards: int = SHARDS, bundles_per_shard: int = B
         F.pmod(F.xxhash64("__group", piece), F.lit(1 << 61)) + F.lit(n_items)
     )
     marked = marked.select("doc_id", "size", "tokens", "text_crc32", item.alias("__item"))
-    # At most n_items bundles and 2 * n_items pieces: bounded by the number of shards alone.
+    # At most n_items bundles, n_items groups and 3 * shards / CUT pieces: bounded by the number of shards alone.
     sums = marked.groupBy("__item").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r")).toPandas().sort_values("__item")
-    spots = place(sums[["b", "t", "r"]].to_numpy(dtype=float), shards, shares=np.array([1.0, 0.02, 0.02]))
+    spots = place(sums[["b", "t", "r"]].to_numpy(dtype=float), shards, shares=np.array(RESOURCES))
     plan = spark.createDataFrame(list(zip(sums["__item"].tolist(), spots.tolist(), strict=True)), "__at long, shard int")
     placed = marked.join(F.broadcast(plan), F.col("__item") == F.col("__at")).drop("__item", "__at")
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]

@@ -83,6 +83,18 @@ def test_sharding_laws(spark, table_dir, docs):
         assert r.size == len(raw) + 16 and r.text_crc32 == zlib.crc32(raw)
 
 
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    r = random.Random(16)
+    texts = [words(r, 60) for _ in range(400)]
+    texts += [t for t in texts[:40] for _ in range(3)] + [texts[50]] * 200
+    got = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 10).toPandas()
+    got["text"] = [texts[i] for i in got.doc_id]
+    torn = got.groupby("text").shard.nunique()
+    assert list(torn[torn > 1].index) == [texts[50]]  # the one above half of a shard
+    sums = got.groupby("shard")["size"].sum()
+    assert len(sums) == 10 and sums.max() / sums.mean() < 1.05
+
+
 def test_placing_balances_all_resources():
     r = np.random.default_rng(3)
     items = r.integers(1, 50, (4000, 3)).astype(float)
