@@ -31,8 +31,10 @@ CHUNK = 1 << 20
 SEED = 5
 #: Rows of a chunk, whose shingles are asked for and answered together.
 ROWS_A_CHUNK = 2048
-#: Members of a bucket that are held against as many others at once.
-BLOCK = 512
+#: Members of a bucket that are held against as many others at once, and about how many characters their texts may have together.
+BLOCK, BLOCK_CHARS = 512, 1 << 22
+#: Parts of the hash range for each shuffle partition, so that a task of the count holds little.
+PARTS = 4
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -123,6 +125,20 @@ def in_chunks(texts: DataFrame, rows: int = ROWS_A_CHUNK) -> DataFrame:
     return staged(texts.withColumn("chunk", part * F.lit(1 << 32) + F.floor(row / F.lit(rows)).cast("long")), "dup-chunks")
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """Ascending numbers below 2**64 as their first and the steps between them, each in as few bytes as the widest step needs."""
+    steps = np.diff(hashes)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes((width,)) + hashes[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    width, body = raw[0], np.frombuffer(raw, np.uint8, offset=9)
+    wide = np.zeros((len(body) // width, 8), dtype=np.uint8)
+    wide[:, :width] = body.reshape(-1, width)
+    return np.cumsum(np.concatenate([np.frombuffer(raw, "<u8", 1, 1), wide.view("<u8").ravel()]), dtype=np.uint64)
+
+
 def document_frequencies(chunks: DataFrame) -> DataFrame:
     """chunk, hashes, seen: for the shingles of each chunk that more than one document holds, how many do.
 
@@ -130,7 +146,7 @@ def document_frequencies(chunks: DataFrame) -> DataFrame:
     its hash; what is not in an answer is in one document. A chunk names each of its
     shingles once, so a common one is a row of numbers as long as the chunks are many.
     """
-    parts = partitions(chunks.sparkSession)
+    parts = PARTS * partitions(chunks.sparkSession)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
@@ -138,39 +154,42 @@ def document_frequencies(chunks: DataFrame) -> DataFrame:
             for number, own in batch.groupby("chunk")["text"]:
                 found = [shingler.shingles(chunk)[1] for _, chunk in chunked(own.tolist())]
                 hashes, seen = np.unique(np.concatenate(found), return_counts=True)
-                part = (mixed(hashes) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                ends = np.searchsorted(part[order], np.arange(parts + 1))
+                part = (hashes * np.uint64(parts) >> np.uint64(HASH_BITS)).astype(np.int64)  # ranges of the hash, so ascending
+                ends = np.searchsorted(part, np.arange(parts + 1))
                 filled = np.flatnonzero(ends[1:] > ends[:-1])
-                raw = np.ascontiguousarray(hashes[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])  # HASH_BITS
-                count = seen[order].astype("<u4")
-                cut = [slice(ends[k], ends[k + 1]) for k in filled]
-                if not len(filled):
-                    continue
-                yield pd.DataFrame({"part": filled, "chunk": number, "hashes": [raw[c].tobytes() for c in cut], "seen": [zlib.compress(count[c].tobytes(), 1) for c in cut]})
+                if len(filled):
+                    cut = [slice(ends[k], ends[k + 1]) for k in filled]
+                    yield pd.DataFrame({"part": filled, "chunk": number, "hashes": [packed(hashes[c]) for c in cut], "seen": [zlib.compress(seen[c].astype("<u4").tobytes(), 1) for c in cut]})
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, hashes, seen = [], [], []
+        last, rows = None, []
         for batch in batches:
-            for number, raw, count in zip(batch["chunk"], batch["hashes"], batch["seen"], strict=True):
-                wide = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-                wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-                numbers.append(number)
-                hashes.append(wide.view("<u8").ravel())
-                seen.append(np.frombuffer(zlib.decompress(count), "<u4"))
-        if not numbers:
-            return
-        ends = np.cumsum([len(h) for h in hashes])
-        every = np.concatenate(hashes)
-        _, at = np.unique(every, return_inverse=True)
-        sums = np.bincount(at, np.concatenate(seen)).astype("<u4")[at]
-        for number, start, end in zip(numbers, [0, *ends[:-1]], ends, strict=True):
-            many = np.flatnonzero(sums[start:end] > 1) + start
-            if len(many):
-                yield pd.DataFrame({"chunk": [number], "hashes": [every[many].tobytes()], "seen": [zlib.compress(sums[many].tobytes(), 1)]})
+            for row in batch[["part", "chunk", "hashes", "seen"]].itertuples(index=False, name=None):
+                if rows and row[0] != last:
+                    yield recurring(rows)
+                    rows = []
+                last = row[0]
+                rows.append(row[1:])
+        if rows:
+            yield recurring(rows)
 
     asked = chunks.select("chunk", "text").mapInPandas(ask, "part int, chunk long, hashes binary, seen binary")
-    return asked.repartition(parts, "part").mapInPandas(answer, "chunk long, hashes binary, seen binary")
+    return asked.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(answer, "chunk long, hashes binary, seen binary")
+
+
+def recurring(rows: list[tuple]) -> pd.DataFrame:
+    """Of what chunks name of one part (chunk, hashes, seen): for each chunk, the hashes that more than one document holds."""
+    hashes = [unpacked(raw) for _, raw, _ in rows]
+    every = np.concatenate(hashes)
+    _, at = np.unique(every, return_inverse=True)
+    sums = np.bincount(at, np.concatenate([np.frombuffer(zlib.decompress(seen), "<u4") for _, _, seen in rows])).astype("<u4")[at]
+    out, start = [], 0
+    for (number, _, _), own in zip(rows, hashes, strict=True):
+        many = np.flatnonzero(sums[start : start + len(own)] > 1)
+        if len(many):
+            out.append((number, packed(own[many]), zlib.compress(sums[start + many].tobytes(), 1)))
+        start += len(own)
+    return pd.DataFrame(out, columns=["chunk", "hashes", "seen"])
 
 
 def idf(frequencies: np.ndarray, rows: int) -> np.ndarray:
@@ -224,7 +243,7 @@ def buckets_of(samples: np.ndarray, choices: np.ndarray) -> np.ndarray:
 
 
 def signed(chunks: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, key, the samples, total weight and document frequencies (null where a text has no words) and the bucket of each band.
+    """doc_id, key, total weight and document frequencies (null where a text has no words) and the bucket of each band.
 
     ``chunks``: doc_id, key, text, chunk, of ``n`` rows. ``seen`` holds the frequencies of a
     text's shingles in the order of their hashes, for ``weighed``.
@@ -233,12 +252,11 @@ def signed(chunks: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) -> D
 
     def sign(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         shingler, sampler = Shingler(), Sampler(bands * rows)
-        many = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(raw, "<u8") for raw in answers["hashes"])])
+        many = np.concatenate([np.zeros(0, "<u8"), *map(unpacked, answers["hashes"])])
         times = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(zlib.decompress(raw), "<u4") for raw in answers["seen"])])
         # A chunk that lay in two batches has asked twice for what both hold, and has the same answer twice.
         order = np.argsort(many)
         many, times = np.append(many[order], np.uint64(1 << 63)), np.append(times[order], 1)
-        kept: list = [None] * len(batch)
         found: list = [[]] * len(batch)
         total: list = [None] * len(batch)
         seen: list = [None] * len(batch)
@@ -252,12 +270,12 @@ def signed(chunks: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) -> D
             weights = tf * idf(held, n)
             samples = sampler.signatures(hashes, weights, begins).astype("<u4")
             sums = np.add.reduceat(weights, begins)
-            for d, own, row, w, df in zip(who[begins], samples, buckets_of(samples, choices), sums, np.split(held, begins[1:]), strict=True):
-                kept[start + d], found[start + d], total[start + d], seen[start + d] = own.tobytes(), row, float(w), zlib.compress(df.tobytes(), 1)
-        return pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "samples": kept, "weight": total, "seen": seen, "buckets": found}).astype({"doc_id": "Int64", "weight": "Float64"})
+            for d, row, w, df in zip(who[begins], buckets_of(samples, choices), sums, np.split(held, begins[1:]), strict=True):
+                found[start + d], total[start + d], seen[start + d] = row, float(w), zlib.compress(df.tobytes(), 1)
+        return pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "weight": total, "seen": seen, "buckets": found}).astype({"doc_id": "Int64", "weight": "Float64"})
 
     both = chunks.select("chunk", "doc_id", "key", "text").groupBy("chunk").cogroup(document_frequencies(chunks).groupBy("chunk"))
-    return both.applyInPandas(sign, "doc_id long, key string, samples binary, weight double, seen binary, buckets array<long>")
+    return both.applyInPandas(sign, "doc_id long, key string, weight double, seen binary, buckets array<long>")
 
 
 def weighed(shingler: Shingler, text: str, seen: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -381,6 +399,14 @@ def resolved(blocks: DataFrame, texts: DataFrame, n: int, similarity: float) ->
     held = held.repartition(4 * partitions(blocks.sparkSession), *block).sortWithinPartitions(*block)
 
     def links(shingler: Shingler, rows: pd.DataFrame) -> list[tuple[str, str]]:
+        """Of one block. Texts that are too long to be held together meet in smaller sets, each with each other."""
+        cut = (np.cumsum(rows["text"].str.len().to_numpy()) // BLOCK_CHARS).tolist()
+        sets = [part for _, part in rows.groupby(cut)]
+        if len(sets) < 2:
+            return links_of(shingler, rows)
+        return [x for i, a in enumerate(sets) for b in sets[i + 1 :] for x in links_of(shingler, pd.concat([a, b]))]
+
+    def links_of(shingler: Shingler, rows: pd.DataFrame) -> list[tuple[str, str]]:
         roots = rows["root"].tolist()
         if len(set(roots)) < 2:
             return []

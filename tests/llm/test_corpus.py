@@ -432,3 +432,26 @@ def test_pipeline_stages(spark, table_dir, docs, empty_dir):
             assert out.where(F.col("text") == rows()[0][1]).count() == 1
         now = out
     assert p.run(spark, empty_dir).count() == 0
+
+
+def test_hashes_travel_as_steps():
+    r = np.random.default_rng(4)
+    for size, top in ((1, 1 << 44), (2, 3), (5000, 1 << 44), (300, 1 << 20)):
+        x = np.unique(r.integers(0, top, size).astype(np.uint64))
+        assert (near_duplicates.unpacked(near_duplicates.packed(x)) == x).all()
+
+
+def test_long_texts_of_a_block_meet_in_smaller_sets(spark, monkeypatch):
+    """Blocks whose texts are too long to be held together lose no link."""
+    r = random.Random(21)
+    base, texts = words(r, 120).split(), []
+    for _ in range(40):
+        tail = words(r, 12).split()
+        for _ in range(2):
+            own = list(tail)
+            own[r.randrange(len(own))] = words(r, 1)
+            texts.append(" ".join(base + own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {x.doc_id: x.class_id for x in near_duplicates.classes(docs).collect()}
+    monkeypatch.setattr(near_duplicates, "BLOCK_CHARS", 3000)
+    assert {x.doc_id: x.class_id for x in near_duplicates.classes(docs).collect()} == want
