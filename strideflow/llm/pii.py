@@ -3,10 +3,11 @@
 Four rules find e-mail addresses, IPv4 addresses, card and phone numbers. These are the
 seeds: the words on either side of them induce lexical patterns ("a token after the word
 tel"). A bipartite graph joins patterns and the identifier-like tokens (those with a digit
-or an @) that fill them; a pattern's score is the share of all occurrences of its word
-that stand beside a known identifier, a token's score the noisy-or of its patterns'. Tokens above a bar
-join the known ones and the graph is scored again, so that high-confidence patterns
-discover identifiers that no rule describes.
+or an @) that fill them. A pattern speaks by what fills it: known identifiers are for it,
+plain words against it, tokens not known yet hardly count; a token's score is the noisy-or
+of its patterns'. Tokens above a bar join the known ones and the graph is scored again,
+until nothing is added, so that high-confidence patterns discover identifiers that no rule
+describes, and those induce patterns of their own.
 """
 
 from __future__ import annotations
@@ -29,34 +30,66 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A token with a digit or an @, and what is cut from its ends.
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 LEAD, TRAIL = r"^[^\p{L}\p{N}+@]+", r"[^\p{L}\p{N}]+$"
-REACH = 64
-ROUNDS = 3
+#: Distinct known identifiers that a pattern needs, and what its score and a token's must reach.
 LEAST_SEEDS = 3
 PATTERN_BAR = 0.6
 TOKEN_BAR = 0.9
+#: What a token that is not known yet weighs against a pattern, beside the plain word's 1.
+UNKNOWN = 0.01
+#: Items that a running value goes through at once; arrays are copied within such a run only.
+RUN = 256
 
 _found = "array<struct<start:bigint,end:bigint,hit:string,left:string,right:string>>"
 
 
+def bound(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` with ``value`` computed once, as ``name``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def running(items: str, zero: str, step: str, body: str) -> str:
+    """SQL of ``body`` with the running values of an array: ``at(i)`` in it stands for the value up to item i.
+
+    ``step`` combines (a, b), as + and greatest do. Runs of RUN items and then the runs
+    themselves are gone through, so that long arrays take little more than linear time.
+    """
+    along = lambda xs, x: f"aggregate({xs}, array({zero}), (acc, x) -> array_append(acc, {step.format(a='element_at(acc, -1)', b=x)}))"
+    inner = f"transform(sequence(0, (size({items}) - 1) div {RUN}), r -> {along(f'slice({items}, r * {RUN} + 1, {RUN})', 'x')})"
+    value = lambda i: step.format(a=f"run.c[({i}) div {RUN}]", b=f"run.w[({i}) div {RUN}][({i}) % {RUN} + 1]")
+    out = []
+    for k, part in enumerate(body.split("at(")):
+        if k:
+            i, _, rest = part.partition(")")
+            part = f"({value(i)}){rest}"
+        out.append(part)
+    return bound("w", inner, bound("run", f"named_struct('w', w, 'c', {along('w', 'element_at(x, -1)')})", "".join(out)))
+
+
 def matches(pattern: str, text: str = "__text") -> Column:
     """All matches of a pattern: start, end (code points, exclusive), the hit and the words beside it.
 
     Splitting at the pattern gives what lies between the hits; running lengths give places.
     """
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    segs, hits = f"split({text}, {p}, -1)", f"regexp_extract_all({text}, {p}, 0)"
-    return F.expr(f"""
-    CASE WHEN {text} RLIKE {p} THEN aggregate(
-      transform({hits}, (h, i) -> named_struct('h', h, 'g', {segs}[i], 'n', {segs}[i + 1])),
-      named_struct('at', 0L, 'out', cast(array() AS {_found})),
-      (acc, x) -> named_struct(
-        'at', acc.at + length(x.g) + length(x.h),
-        'out', array_append(acc.out, named_struct(
-          'start', acc.at + length(x.g), 'end', acc.at + length(x.g) + length(x.h), 'hit', x.h,
-          'left', lower(regexp_extract(right(x.g, {REACH}), '(\\\\p{{L}}+)\\\\P{{L}}*$', 1)),
-          'right', lower(regexp_extract(left(x.n, {REACH}), '^\\\\P{{L}}*(\\\\p{{L}}+)', 1))))),
-      acc -> acc.out)
-    ELSE cast(array() AS {_found}) END""")
+    word = "'^\\\\P{L}*+(\\\\p{L}++)', 1"
+    each = f"""transform(z.h, (h, i) -> named_struct(
+      'start', at(i) - length(h), 'end', at(i), 'hit', h,
+      'left', lower(reverse(regexp_extract(reverse(z.g[i]), {word}))), 'right', lower(regexp_extract(z.g[i + 1], {word}))))"""
+    placed = bound("l", "transform(z.h, (h, i) -> cast(length(z.g[i]) + length(h) as bigint))", running("l", "0L", "{a} + {b}", each))
+    found = bound("z", f"named_struct('h', regexp_extract_all({text}, {p}, 0), 'g', split({text}, {p}, -1))", placed)
+    return F.expr(f"CASE WHEN {text} RLIKE {p} THEN cast({found} AS {_found}) ELSE cast(array() AS {_found}) END")
+
+
+def apart(tokens: str, spans: str) -> Column:
+    """The tokens (by start, none overlapping another) that overlap none of the spans, in one pass over both sorted together."""
+    item = lambda x, kind: f"named_struct('start', {x}.start, 'kind', {kind}, 'end', {x}.end, 'hit', {x}.hit, 'left', {x}.left, 'right', {x}.right)"
+    both = f"array_sort(concat(transform({spans}, x -> {item('x', 0)}), transform({tokens}, x -> {item('x', 1)})))"
+    last, first = "if(x.kind = 0, x.end, 0L)", f"if(x.kind = 0, x.start, {1 << 62}L)"
+    free = "filter(s, (x, i) -> x.kind = 1 AND e[i] <= x.start AND b[size(s) - 1 - i] >= x.end)"
+    along = lambda xs, zero, step, x: bound("q", f"transform({xs}, x -> {x})", running("q", zero, step, "transform(q, (x, i) -> at(i))"))
+    ends, starts = along("s", "0L", "greatest({a}, {b})", last), along("reverse(s)", f"{1 << 62}L", "least({a}, {b})", first)
+    kept = bound("s", both, bound("e", ends, bound("b", starts, free)))
+    return F.expr(f"CASE WHEN size({spans}) > 0 AND size({tokens}) > 0 THEN transform({kept}, x -> named_struct('start', x.start, 'end', x.end, 'hit', x.hit, 'left', x.left, 'right', x.right)) ELSE {tokens} END")
 
 
 def digits(hit: Column) -> Column:
@@ -99,9 +132,8 @@ def based(documents: DataFrame) -> DataFrame:
         start = m["start"] + lead
         return F.struct(start.alias("start"), (start + F.length(core)).alias("end"), core.alias("hit"), m["left"].alias("left"), m["right"].alias("right"))
 
-    free = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    tokens = F.filter(F.filter(F.transform("m_token", trimmed), lambda t: t["end"] > t["start"]), free)
-    return rows.select("doc_id", F.md5("__text").alias("key"), "base", tokens.alias("tokens"), "__text")
+    rows = rows.withColumn("m_token", F.filter(F.transform("m_token", trimmed), lambda t: t["end"] > t["start"]))
+    return rows.select("doc_id", F.md5("__text").alias("key"), "base", apart("m_token", "base").alias("tokens"), "__text")
 
 
 def edges(rows: DataFrame, column: str, known: int) -> DataFrame:
@@ -117,33 +149,44 @@ def edges(rows: DataFrame, column: str, known: int) -> DataFrame:
     )
 
 
-def discovered(graph: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def discovered(graph: DataFrame, words: DataFrame) -> DataFrame:
     """Instances that the graph makes known, with their scores: instance, score.
 
-    ``graph``: side, word, instance, n, known (1.0 for seeds); ``words``: word, total.
+    ``graph``: side, word, instance, n, known (1.0 for seeds); ``words``: word, total. A
+    pattern's score is what known instances fill of all that speaks for or against it:
+    its known fillings by their belief, one doubt, the plain words beside its word, and a
+    little of the tokens not known yet. Beliefs only grow, so the rounds come to an end.
     """
-    state = graph.withColumn("belief", F.col("known"))
-    seeds = graph.where("known = 1").select("side", "word").distinct()
+    patterns = graph.groupBy("side", "word").agg(F.sum("n").alias("filled"))
     # An inner join with distinct words: a semi-join would be pushed below the count, and every word shuffled.
-    totals = staged(words.join(seeds.select(F.col("word").alias("w")).distinct(), F.col("word") == F.col("w")).drop("w"), "pii-totals")
-    found = None
-    for _ in range(rounds):
-        strength = state.groupBy("side", "word").agg(F.sum(F.col("n") * F.col("belief")).alias("for"), F.sum((F.col("belief") > 0).cast("long")).alias("seeds"))
-        strong = strength.where(F.col("seeds") >= LEAST_SEEDS).join(totals, "word").select(F.col("side").alias("s"), F.col("word").alias("w"), F.least(F.col("for") / F.col("total"), F.lit(0.999)).alias("p")).where(F.col("p") >= PATTERN_BAR)
-        strong = staged(strong, "pii-patterns")
+    totals = words.join(graph.select(F.col("word").alias("w")).distinct(), F.col("word") == F.col("w")).select("w", "total")
+    plain = F.greatest(F.col("total") - F.col("filled"), F.lit(0))
+    doubts = patterns.join(totals, F.col("word") == F.col("w")).select(F.col("side").alias("s"), F.col("word").alias("w"), "filled", plain.alias("plain"))
+    doubts = staged(doubts, "pii-doubts")
+    state = graph.withColumn("belief", F.col("known"))
+    before = 0
+    while True:
+        believed = state.where("belief > 0").groupBy("side", "word").agg(F.sum(F.col("n") * F.col("belief")).alias("for"), F.sum("n").alias("met"), F.count(F.lit(1)).alias("seeds"))
+        speaking = believed.where(F.col("seeds") >= LEAST_SEEDS).join(doubts, (F.col("side") == F.col("s")) & (F.col("word") == F.col("w")))
+        score = F.col("for") / (F.col("for") + 1 + F.col("plain") + UNKNOWN * (F.col("filled") - F.col("met")))
+        strong = staged(speaking.select("s", "w", score.alias("p")).where(F.col("p") >= PATTERN_BAR), "pii-patterns")
         fills = graph.where("known = 0").join(strong, (F.col("side") == F.col("s")) & (F.col("word") == F.col("w")))
         found = fills.groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score")).where(F.col("score") >= TOKEN_BAR)
         found = staged(found, "pii-found")
+        n = found.count()
+        if n == before:
+            return found
+        before = n
         named = found.select(F.col("instance").alias("i"), "score")
         state = graph.join(named, F.col("instance") == F.col("i"), "left").withColumn("belief", F.when(F.col("known") == 1, 1.0).otherwise(F.coalesce("score", F.lit(0.0)))).drop("i", "score")
-    return found
 
 
 def personal(documents: DataFrame) -> DataFrame:
     """doc_id and spans (kind, start, end; base kinds as listed, then ``context``, each by start) of every whole text.
 
     A null or empty text has no spans. Places are code points, ends exclusive. Repeated
-    rows get equal answers; texts share their discoveries. Other columns are not read.
+    rows get equal answers; texts share their discoveries; a null doc_id is kept. An empty
+    table gives an empty result. Other columns are not read.
     """
     rows = staged(based(documents).drop("__text"), "pii-rows")
     words = documents.select(F.explode(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
@@ -165,4 +208,4 @@ def op2_pii(spark, sf_dir: str) -> DataFrame:
     written = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
     count = lambda k, name: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{name}")
     base = F.filter("spans", lambda s: s["kind"] < len(KINDS))
-    return found.select("doc_id", *[count(k, n) for k, n in enumerate((*KINDS, "context"))], F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[count(k, n) for k, n in enumerate((*KINDS, "context"))], F.size("spans").cast("long").alias("n_spans"), F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
