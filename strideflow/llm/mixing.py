@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule. DataFrame functions only.
 
 Targets share out a budget of words by weight and stop at a cap; documents of a source are
-shuffled by a hash and cut into blocks of equal words; a schedule of slots maps
-golden-ratio points through the cumulative targets to sources, ranks the slots of each
-source, and joins the slot of rank r to the source's block r, beginning again after the
-last. Every part of the mix thus has each source near its share.
+shuffled by a hash and cut into blocks of equal words, smaller ones for a source with a
+small target, so that it too has many; a schedule of slots maps golden-ratio points
+through the cumulative numbers of blocks that targets ask for to sources, ranks the slots
+of each source, and joins the slot of rank r to the source's block r, beginning again
+after the last. Every part of the mix thus has each source near its share.
 """
 
 from __future__ import annotations
@@ -17,7 +18,13 @@ from .common import group_rows, read_table, staged
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-SLOTS = 20_000
+#: Slots of the whole mix, and those that each source has at least (or one a word).
+SLOTS, LEAST_SLOTS = 20_000, 1000
+#: Golden-ratio points for each slot. Of any part of the line they hit its share but for a few, so with
+#: three a slot every source has as many as it asks for; it takes its first.
+POINTS = 3
+#: Rows of a plan that are sent to all executors at most; a larger one is joined by a shuffle.
+SENT = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: The fractional part of the golden ratio, to 15 digits as SQL reads it.
 GOLDEN = 0.618033988749895
@@ -58,25 +65,41 @@ def sized(documents: DataFrame) -> DataFrame:
     )
 
 
-def schedule(aims: DataFrame, one: DataFrame, slots: int, most: int) -> DataFrame:
+def stepped(aims: DataFrame, slots: int, least: int) -> DataFrame:
+    """``aims`` (at, source_size, target, ...) with step, the words of a block of the source, and turns, the blocks that its target asks for."""
+    whole = F.sum(F.floor("target").cast("long")).over(Window.partitionBy())
+    step = F.greatest(F.least(whole / F.lit(float(slots)), F.col("target") / F.lit(float(least))), F.lit(1.0))
+    return aims.withColumn("step", step).withColumn("turns", F.floor(F.col("target") / F.col("step") + 0.5).cast("long"))
+
+
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SENT else df
+
+
+def schedule(aims: DataFrame, most: int) -> DataFrame:
     """How often each block is taken, and the first slot that takes it: at, block, mix_times, mix_slot.
 
-    ``aims``: at, source_size, target; ``one``: a row with step, the words of a block. The
-    result has ``slots`` rows at most, as has everything on the way.
+    ``aims``: at, source_size, target, step, turns. The result has a row for each turn at
+    most: as many as the slots, and the least number for each small source.
     """
-    upto = F.sum(F.floor("target").cast("long")).over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    line = aims.withColumn("upto", upto).where("target >= 1").agg(F.sort_array(F.collect_list(F.struct("upto", "at"))).alias("line"), F.max("upto").alias("whole"))
+    spark = aims.sparkSession
+    upto = F.sum("turns").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    lines = aims.where("turns > 0").withColumn("high", upto).withColumn("low", F.col("high") - F.col("turns"))
+    blocks = F.greatest(F.ceil(F.col("source_size") / F.col("step")), F.lit(1)).cast("long")
+    lines = staged(lines.select("at", "turns", "low", "high", blocks.alias("blocks")), "mix-lines")
+    whole = lines.agg(F.coalesce(F.max("high"), F.lit(0)).alias("whole"), F.count(F.lit(1)).alias("n")).first()
     golden = (F.col("id") + F.lit(0.5)) * F.lit(GOLDEN)
-    points = aims.sparkSession.range(slots).withColumn("point", golden - F.floor(golden))
-    source = F.element_at(F.filter("line", lambda x: x["upto"] > F.col("point") * F.col("whole")), 1)["at"]
-    aimed = points.join(F.broadcast(line)).where("whole > 0").select("id", source.alias("at"))
-    ranked = aimed.withColumn("rank", F.row_number().over(Window.partitionBy("at").orderBy("id")) - 1)
-    blocks = aims.join(one).where("step > 0").select(F.col("at").alias("bat"), F.greatest(F.ceil(F.col("source_size") / F.col("step")), F.lit(1)).cast("long").alias("blocks"))
-    turns = ranked.join(F.broadcast(blocks), F.col("at") == F.col("bat")).where(F.col("rank") < F.col("blocks") * most)
+    points = spark.range(POINTS * whole["whole"] + 64 if whole["whole"] else 0).withColumn("point", (golden - F.floor(golden)) * F.lit(float(whole["whole"])))
+    # Points meet sources in cells of the line, as many as there are sources.
+    cell = lambda x: F.floor(F.col(x).cast("double") * F.lit(whole["n"] / max(whole["whole"], 1))).cast("long")
+    in_cells = lines.withColumn("cell", F.explode(F.sequence(cell("low"), cell("high"))))
+    met = points.withColumn("c", cell("point")).join(sent(in_cells, whole["n"]), (F.col("c") == F.col("cell")) & (F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("at").orderBy("id")) - 1)
+    turns = ranked.where((F.col("rank") < F.col("turns")) & (F.col("rank") < F.col("blocks") * most))
     return turns.groupBy("at", F.pmod("rank", F.col("blocks")).cast("long").alias("block")).agg(F.count(F.lit(1)).cast("int").alias("mix_times"), F.min("id").alias("mix_slot"))
 
 
-def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, slots: int = SLOTS) -> DataFrame:
+def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, slots: int = SLOTS, least: int = LEAST_SLOTS) -> DataFrame:
     """What the mix takes of each row of ``rows`` (as ``sized`` makes them).
 
     Returns mix_row, mix_size, mix_source_size, mix_target, mix_times (0 to ``most``: how
@@ -88,14 +111,13 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """
     spark = rows.sparkSession
     sources = staged(rows.groupBy("source").agg(F.sum("mix_size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sources")
-    aims = staged(targets(sources.select("source", "source_size"), weights, share, most), "mix-targets")
+    aims = staged(stepped(targets(sources.select("source", "source_size"), weights, share, most), slots, least), "mix-targets")
     per = group_rows(sources.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], spark)
-    one = F.broadcast(staged(aims.agg((F.sum(F.floor("target").cast("long")) / F.lit(float(slots))).alias("step")), "mix-step"))
 
     # Words of a source before each row, in levels: pieces of the shuffled order, then rows of a piece.
     pieces = F.ceil(F.col("n") / F.lit(per)).cast("long")
     numbers = sources.select(F.col("source").alias("s1"), pieces.alias("pieces"))
-    known = aims.join(numbers, F.col("source").eqNullSafe(F.col("s1"))).select(F.col("source").alias("s0"), "at", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "pieces")
+    known = aims.join(numbers, F.col("source").eqNullSafe(F.col("s1"))).select(F.col("source").alias("s0"), "at", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "step", "pieces")
     piece = F.floor(F.col("mix_order") / F.lit(float(1 << 48)) * F.col("pieces")).cast("long")
     dealt = rows.join(known, F.col("source").eqNullSafe(F.col("s0"))).withColumn("piece", piece).drop("s0", "pieces")
     before = Window.unboundedPreceding, -1
@@ -108,9 +130,9 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     within = Window.partitionBy("at", "piece").orderBy("mix_order", "mix_size").rowsBetween(*before)
     ordered = dealt.withColumn("in_piece", F.coalesce(F.sum("mix_size").over(within), F.lit(0))).join(firsts, ["at", "piece"])
     start = F.col("in_piece") + F.col("first_word")
-    numbered = ordered.join(one).withColumn("block", F.when(F.col("step") > 0, F.floor(start / F.col("step"))).otherwise(F.lit(0)).cast("long"))
-    taken = F.broadcast(staged(schedule(aims, one, slots, most), "mix-taken"))
-    out = numbered.join(taken, ["at", "block"], "left")
+    numbered = ordered.withColumn("block", F.floor(start / F.col("step")).cast("long"))
+    taken = staged(schedule(aims, most), "mix-taken")
+    out = numbered.join(sent(taken, taken.count()), ["at", "block"], "left")
     return out.select("mix_row", "mix_size", "mix_source_size", "mix_target", F.coalesce("mix_times", F.lit(0)).alias("mix_times"), "mix_slot")
 
 
@@ -142,24 +164,23 @@ WITH d AS (
 ), t AS (
   SELECT *, CASE WHEN cap <= level * weight THEN cap
                  ELSE weight * max(CASE WHEN cap > level * weight THEN level END) OVER () END AS target FROM l
-), one AS (SELECT sum(floor(target)::BIGINT)::DOUBLE / 20000.0::DOUBLE AS step FROM t
-), line AS (SELECT nr, source_size, target, sum(floor(target)::BIGINT) OVER (ORDER BY nr) AS upto FROM t
+), line AS (
+  SELECT *, sum(turns) OVER (ORDER BY nr)::DOUBLE AS high, (sum(turns) OVER (ORDER BY nr) - turns)::DOUBLE AS low, sum(turns) OVER () AS whole,
+         greatest(ceil(source_size / step), 1)::BIGINT AS blocks
+  FROM (SELECT *, floor(target / step + 0.5::DOUBLE)::BIGINT AS turns FROM (
+    SELECT *, greatest(least((sum(floor(target)::BIGINT) OVER ())::DOUBLE / {SLOTS}.0::DOUBLE, target / {LEAST_SLOTS}.0::DOUBLE), 1.0::DOUBLE) AS step FROM t))
 ), p AS (
-  SELECT i AS id, (i + 0.5::DOUBLE) * {GOLDEN}::DOUBLE - floor((i + 0.5::DOUBLE) * {GOLDEN}::DOUBLE) AS point
-  FROM range(20000) r(i)
-), a AS (
-  SELECT id, (SELECT min(nr) FROM line WHERE upto > point * (SELECT max(upto) FROM line) AND target >= 1) AS nr FROM p
+  SELECT i AS id, ((i + 0.5::DOUBLE) * {GOLDEN}::DOUBLE - floor((i + 0.5::DOUBLE) * {GOLDEN}::DOUBLE)) * (SELECT max(whole) FROM line)::DOUBLE AS point
+  FROM (SELECT unnest(range((SELECT ({POINTS} * max(whole) + 64)::BIGINT FROM line))) AS i)
 ), k AS (
-  SELECT a.nr, row_number() OVER (PARTITION BY a.nr ORDER BY id) - 1 AS rank,
-         greatest(ceil(source_size / step), 1)::BIGINT AS blocks
-  FROM a JOIN line USING (nr), one
-), n AS (SELECT nr, rank % blocks AS block, count(*) AS times FROM k WHERE rank < 2 * blocks GROUP BY ALL
+  SELECT nr, turns, blocks, row_number() OVER (PARTITION BY nr ORDER BY id) - 1 AS rank
+  FROM p JOIN line ON point >= low AND point < high
+), n AS (SELECT nr, rank % blocks AS block, count(*) AS times FROM k WHERE rank < turns AND rank < {MOST} * blocks GROUP BY ALL
 ), b AS (
-  SELECT d.*, t.nr, t.source_size, t.target,
+  SELECT d.*, t.nr, t.source_size, t.target, t.step,
          coalesce(sum(size) OVER (PARTITION BY t.nr ORDER BY o, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_word
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN line t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target, (size * coalesce(times, 0))::BIGINT AS taken
-FROM b CROSS JOIN one LEFT JOIN n
-  ON n.nr = b.nr AND n.block = CASE WHEN step > 0 THEN floor(first_word / step)::BIGINT ELSE 0 END
+FROM b LEFT JOIN n ON n.nr = b.nr AND n.block = floor(first_word / step)::BIGINT
 """

@@ -139,6 +139,45 @@ def test_pii_patterns_discover_identifiers(spark):
     assert not any(s.kind == 4 for i in range(32, 37) for s in got[i])
 
 
+def test_pii_patterns_hop_to_further_patterns(spark):
+    """Tokens that the seeds' pattern finds induce a pattern of their own; most of what fills a pattern may be unknown."""
+    r = random.Random(22)
+    texts = [f"{words(r, 4)} kontakt {100 + i}.1.2.3 {words(r, 3)}" for i in range(60)]
+    texts += [f"{words(r, 4)} kontakt QX-{i}Z vermerk {words(r, 3)}" for i in range(40)] + [f"{words(r, 4)} QX-99Y vermerk", f"{words(r, 3)} lose 77b ende"]
+    got = {x.doc_id: x.spans for x in pii.personal(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [[texts[i][s.start : s.end] for s in got[i] if s.kind == 4] for i in range(len(texts))]
+    assert found[60:100] == [[f"QX-{i}Z"] for i in range(40)] and found[100] == ["QX-99Y"] and not found[101] and not any(found[:60])
+
+
+def test_pii_takes_long_texts_in_little_time(spark):
+    import time
+
+    longest = "ä" * 70
+    texts = ["a1 " * 20_000, "a.b@c.de 77x " * 6_000, f"tel {longest} 1.2.3.4 {longest}x"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    pii.based(frame.limit(1)).collect()
+    begin = time.perf_counter()
+    got = {x.doc_id: x for x in pii.based(frame).collect()}
+    assert time.perf_counter() - begin < 20
+    assert [(t.start, t.end) for t in got[0].tokens] == [(3 * i, 3 * i + 2) for i in range(20_000)]
+    assert len(got[1].base) == len(got[1].tokens) == 6_000 and {t.hit for t in got[1].tokens} == {"77x"}
+    assert [(b.left, b.right) for b in got[2].base] == [(longest, longest + "x")]
+
+
+def test_pii_tokens_stand_apart_from_base_spans(spark):
+    r = random.Random(23)
+    texts = ["".join(r.choice(["4111 1111 1111 1111", "+12 345 678 901", "a@b.cd", "1.2.3.4", "x9", "77", " ", " ", ",", "é"]) for _ in range(r.randint(1, 600))) for _ in range(60)]
+    for row in pii.based(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        text, base = texts[row.doc_id], [(b.start, b.end) for b in row.base]
+        want = []
+        for m in re.finditer(r"(?<!\S)\S*[0-9@]\S*", text):
+            core = re.sub(r"[^\w]+$|_+$", "", re.sub(r"^[^\w+@]+", "", m.group()))
+            start = m.start() + len(m.group()) - len(re.sub(r"^[^\w+@]+", "", m.group()))
+            if core and not any(s < start + len(core) and start < e for s, e in base):
+                want.append((start, start + len(core)))
+        assert [(t.start, t.end) for t in row.tokens] == want
+
+
 def test_packing_round_trip(spark, docs):
     pieces = packing.tokenised(docs, keep_ids=True)
     got = packing.pack(pieces).toPandas()
@@ -353,6 +392,28 @@ def test_mixing_targets_and_schedule(spark):
         assert abs(part.taken.sum() / part.mix_target.iloc[0] - 1) < 0.02
 
 
+def test_mixing_serves_small_and_many_sources(spark, tmp_path):
+    """Every source comes near its own target, however small beside the mix, and SQL agrees."""
+    import duckdb
+
+    r = random.Random(19)
+    docs = [(i, words(r, r.randint(1, 40)), "big") for i in range(4000)] + [(5000 + i, words(r, 3), f"tiny{i % 7}") for i in range(70)]
+    docs += [(6000 + i, words(r, r.randint(1, 3)), f"many{i // 2:04}") for i in range(2400)] + [(9000, None, None), (9001, "", "none"), (None, "a b c", "tiny1")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op8_mixing(spark, str(tmp_path)).toPandas()
+    sources = {d[0]: d[2] for d in docs}
+    got["source"] = [sources[None if i != i else int(i)] for i in got.doc_id]
+    for name, part in got[got.source_size > 0].groupby("source"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= max(part["size"].max() * 2, 0.01 * part.target.iloc[0]), name
+    assert (got.taken <= 2 * got["size"]).all()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.sql(mixing.OP8_SQL).df()
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    rows = lambda x: sorted(map(str, x[columns].astype(float).round(6).to_numpy().tolist()))
+    assert rows(got) == rows(want)
+
+
 SECRET = {"assign": r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
 
 
