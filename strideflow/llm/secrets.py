@@ -1,11 +1,13 @@
 """Secret scans: rules find candidates, a character convolutional network scores them.
 
 Every span that a base rule finds is a secret. Long tokens that mix letters and digits are
-candidates too; a small convolutional network, in numpy, reads each candidate with its
-surrounding characters and adds the spans whose calibrated probability is at or above a
-threshold. The network is trained on labelled findings; its probabilities are calibrated
-(Platt) on findings it was not trained on, and the threshold is the highest at which
-recall there is at least ``recall``.
+candidates too; a small convolutional network, in numpy, reads each candidate whole, in
+windows that overlap, each with its surrounding characters. A candidate has the highest
+calibrated probability of its windows, and is added if that reaches a threshold. The
+network is trained on labelled findings; its probabilities are calibrated (Platt) on
+findings it was not trained on, and the threshold is the lowest there with a precision of
+at least ``precision``, provided that recall is then at least ``recall``; else it is the
+highest with that recall. It lies at the last secret that is found so.
 """
 
 from __future__ import annotations
@@ -30,7 +32,11 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=.\-]{16,}")
+#: Characters of a window before, in and after what it reads of a candidate, and from one window to the next.
 BEFORE, WITHIN, AFTER = 16, 48, 8
+STEP = 24
+#: Windows that are scored together.
+AT_ONCE = 8192
 WIDTH = BEFORE + WITHIN + AFTER
 #: Character classes: each of these by itself, then other lower, upper, digit, space, other.
 OWN = "+/_=.-:\"'@,;()<>"
@@ -45,17 +51,17 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Long tokens with a letter and a digit that touch no base span."""
+    """Long tokens with a letter and a digit that are not within one base span; those that only overlap one are read whole."""
     out, k = [], 0
     by_start = sorted((s, e) for _, s, e in base)
     furthest = 0
     for m in TOKEN.finditer(text):
         start, end = m.span()
-        while k < len(by_start) and by_start[k][0] < end:
+        while k < len(by_start) and by_start[k][0] <= start:
             furthest = max(furthest, by_start[k][1])
             k += 1
         token = m.group()
-        if furthest <= start and any(c.isdigit() for c in token) and any(c.isalpha() for c in token):
+        if furthest < end and any(c.isdigit() for c in token) and any(c.isalpha() for c in token):
             out.append((start, end))
     return out
 
@@ -77,18 +83,22 @@ def char_classes() -> np.ndarray:
     return table
 
 
-def windows(text: str, spans: list[tuple[int, int]], table: np.ndarray) -> np.ndarray:
-    """The class numbers of each candidate and its context; 0 where there is nothing."""
-    out = np.zeros((len(spans), WIDTH), dtype=np.uint8)
-    for i, (start, end) in enumerate(spans):
-        parts = ((text[max(0, start - BEFORE) : start], BEFORE, True), (text[start : min(end, start + WITHIN)], WITHIN, False), (text[end : end + AFTER], AFTER, False))
-        at = 0
-        for part, size, right in parts:
-            codes = table[np.frombuffer(part.encode("latin-1", "replace"), dtype=np.uint8)]
-            place = at + (size - len(codes) if right else 0)
-            out[i, place : place + len(codes)] = codes
-            at += size
-    return out
+def places(start: int, end: int) -> list[tuple[int, int]]:
+    """What the windows of a candidate read of it: parts of up to WITHIN characters, STEP apart, to its end."""
+    return [(at, min(end, at + WITHIN)) for at in range(start, max(start + 1, end - WITHIN + STEP), STEP)]
+
+
+def windows(text: str, spans: list[tuple[int, int]], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class numbers of each window of the candidates (0 where there is nothing), and the candidate of each."""
+    codes = np.concatenate([np.zeros(BEFORE, np.uint8), table[np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8)], np.zeros(WITHIN + AFTER, np.uint8)])
+    read = [(i, a, b) for i, span in enumerate(spans) for a, b in places(*span)]
+    owner, first, stop = np.array(read, dtype=np.int64).reshape(-1, 3).T
+    out = np.zeros((len(read), WIDTH), dtype=np.uint8)
+    inner = np.arange(WITHIN)
+    out[:, :BEFORE] = codes[first[:, None] + np.arange(BEFORE)]
+    out[:, BEFORE : BEFORE + WITHIN] = np.where(inner < (stop - first)[:, None], codes[first[:, None] + BEFORE + inner], 0)
+    out[:, BEFORE + WITHIN :] = codes[stop[:, None] + BEFORE + np.arange(AFTER)]
+    return out, owner
 
 
 @dataclass
@@ -122,11 +132,21 @@ class CharNet:
         pooled = np.concatenate([a.mean(axis=1), b.max(axis=1)], axis=1)
         return cols, h, inner, pooled, pooled @ self.out + self.shift
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
+    def logits(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x))
         for at in range(0, len(x), 1024):
             out[at : at + 1024] = self.forward(x[at : at + 1024])[-1]
-        return 1 / (1 + np.exp(-np.clip(self.scale * out + self.offset, -40, 40)))
+        return out
+
+    def calibrated(self, z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.offset, -40, 40)))
+
+    def probability(self, text: str, spans: list[tuple[int, int]], table: np.ndarray) -> np.ndarray:
+        """Of each span: the highest calibrated probability of its windows."""
+        best = np.full(len(spans), -np.inf)
+        x, owner = windows(text, spans, table)
+        np.maximum.at(best, owner, self.logits(x))
+        return self.calibrated(best)
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int, seed: int, rate: float = 0.01, batch: int = 128) -> None:
         r = np.random.default_rng(seed)
@@ -191,31 +211,47 @@ def labelled_findings(n: int = 3000, seed: int = 9) -> pd.DataFrame:
         lambda: f"{r.randint(100, 999)}-{r.randint(100, 999)}-{r.randint(1000, 9999)}x{r.randint(1, 99)}-{word(2, 3)}",
         lambda: "=" * r.randint(8, 20) + f"{word()}{r.randint(0, 9)}" + "=" * r.randint(4, 20),
     )
+    runs = (  # what may stand around a secret in one token, or without one
+        lambda: "".join(f"/{word()}" for _ in range(r.randint(2, 14))) + "/",
+        lambda: "=".join(word() for _ in range(r.randint(2, 8))) + "=",
+        lambda: f"{word()}.{word()}.{word(2, 3)}/" + "/".join(word() for _ in range(r.randint(1, 10))) + f"/v{r.randint(1, 9)}/",
+    )
     hints = ("key: ", "secret ", "credentials=", "Authorization: Bearer ", "auth ", "use ")
     rows = []
     for i in range(n):
         label = i % 2
+        head = r.choice(runs)() if r.random() < 0.25 else ""
         token = r.choice(secrets if label else plain)()
         left = " ".join(word(2, 8) for _ in range(r.randint(0, 5))) + r.choice((" ", "\n", " (", ' "', ", "))
         left += r.choice(hints) if label and r.random() < 0.4 else ""
         right = r.choice((" ", "\n", ") ", '" ', ", ", ". ")) + " ".join(word(2, 8) for _ in range(r.randint(0, 3)))
-        rows.append((left + token + right, len(left), len(left) + len(token), label))
-    return pd.DataFrame(rows, columns=["text", "start", "end", "label"])
+        end = len(left) + len(head) + len(token)
+        rows.append((left + head + token + right, len(left), end, label, len(left) + len(head) if label else end))
+    return pd.DataFrame(rows, columns=["text", "start", "end", "label", "secret"])
 
 
-def train(findings: pd.DataFrame, recall: float = 0.97, least: float = 0.9, epochs: int = 8, seed: int = 9) -> CharNet:
-    """A calibrated network from labelled findings (text, start, end, label).
+def train(findings: pd.DataFrame, recall: float = 0.97, precision: float = 0.995, epochs: int = 8, seed: int = 9) -> CharNet:
+    """A calibrated network from labelled findings (text, start, end, label, secret: where in it the secret begins).
 
-    Three quarters train it, a quarter calibrates it and sets the threshold: the highest
-    that keeps ``recall`` of the secrets there, but never under ``least``.
+    Three quarters train it, a quarter calibrates it and sets the threshold. A window is a
+    positive example if it reads at least half of the secret or 16 characters of it, and none if it reads less.
     """
     table = char_classes()
-    x = np.concatenate([windows(r.text, [(r.start, r.end)], table) for r in findings.itertuples()])
-    y = findings["label"].to_numpy(float)
     part = np.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).digest()[0] % 4 == 0 for t in findings["text"]])
+    xs, ys = [], []
+    for f in findings[~part].itertuples():
+        x, _ = windows(f.text, [(f.start, f.end)], table)
+        read = np.array([max(0, b - max(a, f.secret)) for a, b in places(f.start, f.end)])
+        enough = read >= min(16, (f.end - f.secret + 1) // 2)
+        use = enough | (read == 0) if f.label else np.ones(len(x), dtype=bool)
+        xs.append(x[use])
+        ys.append((enough & bool(f.label))[use])
     net = CharNet.fresh(seed)
-    net.train(x[~part], y[~part], epochs, seed)
-    z, t = net.forward(x[part])[-1], y[part]
+    net.train(np.concatenate(xs), np.concatenate(ys).astype(float), epochs, seed)
+    held = findings[part]
+    found = [windows(f.text, [(f.start, f.end)], table)[0] for f in held.itertuples()]
+    z = np.maximum.reduceat(net.logits(np.concatenate(found)), np.cumsum([0, *map(len, found)])[:-1])
+    t = held["label"].to_numpy(float)
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps of the calibrating logistic regression, lightly held to 1 and 0
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
@@ -227,8 +263,14 @@ def train(findings: pd.DataFrame, recall: float = 0.97, least: float = 0.9, epoc
         if abs(step).max() < 1e-8:
             break
     net.scale, net.offset = float(a), float(b)
-    found = np.sort(net.probability(x[part])[t == 1])
-    net.threshold = max(least, float(found[int((1 - recall) * len(found))])) if len(found) else least
+    p = net.calibrated(z)
+    order = np.argsort(-p)
+    right = np.cumsum(t[order])
+    best = np.flatnonzero(right / np.arange(1, len(p) + 1) >= precision)  # where to cut, from the surest down
+    least = int(np.searchsorted(right, recall * t.sum()))  # the first cut with enough recall
+    cut = max(best.max(initial=0), min(least, len(p) - 1))
+    sure = order[: cut + 1]
+    net.threshold = float(p[sure][t[sure] > 0].min(initial=1.0))
     return net
 
 
@@ -239,29 +281,42 @@ def scan(documents: DataFrame, net: CharNet, keep: list[str], also: str | None =
     """The columns in ``keep`` and ``spans``: all secrets of each whole text, by start, then kind.
 
     Base spans have the network's probability as score and stay whatever it is; others are
-    of kind ``net``. A null or empty text has no spans. Places are code points, ends
-    exclusive. ``also`` names a column to return the text in, its secrets masked (null
-    stays null). Repeated rows get equal answers.
+    of kind ``net`` and may overlap a base span that is a part of them. A null or empty
+    text has no spans. Places are code points, ends exclusive. ``also`` names a column to
+    return the text in, its secrets masked (null stays null). Repeated rows get equal
+    answers; an empty table gives an empty result.
     """
     slim = documents.select(*keep, F.col("text").alias("__text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = char_classes()
+
+        def scored(some: list[tuple[int, list, np.ndarray, np.ndarray]], best: dict[int, np.ndarray]) -> None:
+            if some:
+                z = net.logits(np.concatenate([x for _, _, x, _ in some]))
+                at = 0
+                for i, spans, x, owner in some:
+                    top = np.full(len(spans), -np.inf)
+                    np.maximum.at(top, owner, z[at : at + len(x)])
+                    best[i], at = net.calibrated(top), at + len(x)
+
         for batch in batches:
             texts = [t or "" for t in batch["__text"]]
             spans: list[list] = []
-            inputs: list[np.ndarray] = []
-            for text in texts:
+            best: dict[int, np.ndarray] = {}
+            some: list[tuple[int, list, np.ndarray, np.ndarray]] = []
+            for i, text in enumerate(texts):
                 base = base_spans(text)
-                more = [("net", s, e) for s, e in candidates(text, base)]
-                spans.append(base + more)
-                if base or more:
-                    inputs.append(windows(text, [(s, e) for _, s, e in spans[-1]], table))
-            scores = net.probability(np.concatenate(inputs)) if inputs else np.zeros(0)
-            kept, at = [], 0
-            for found in spans:
-                rows = [(k, s, e, float(p)) for (k, s, e), p in zip(found, scores[at : at + len(found)], strict=True) if k != "net" or p >= net.threshold]
-                at += len(found)
+                spans.append(base + [("net", s, e) for s, e in candidates(text, base)])
+                if spans[-1]:
+                    some.append((i, spans[-1], *windows(text, [(s, e) for _, s, e in spans[-1]], table)))
+                if sum(len(x) for _, _, x, _ in some) > AT_ONCE:
+                    scored(some, best)
+                    some = []
+            scored(some, best)
+            kept = []
+            for i, found in enumerate(spans):
+                rows = [(k, s, e, float(p)) for (k, s, e), p in zip(found, best.get(i, ()), strict=True) if k != "net" or p >= net.threshold]
                 kept.append(sorted(rows, key=lambda r: (r[1], KINDS.index(r[0]), r[2])))
             out = batch.drop(columns="__text")
             if also:
