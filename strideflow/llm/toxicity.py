@@ -1,10 +1,12 @@
 """Toxicity: Levenshtein automata over a lexicon trie, weighed by context.
 
 The lexicon is learnt from labelled documents: words that toxic ones hold and others do
-not, and stems that such words share. Words of a text run through the automaton that is
-the intersection of the lexicon's trie with a Levenshtein automaton, so that misspelt
-terms are found as well. A hit counts in full, unless its context window shows quotation
-or a report of what was said. A logistic model turns the counts into a score.
+not, and stems that such words share (a stem is a term with any ending). Words of a text
+run through the automaton that is the intersection of the lexicon's trie with a
+Levenshtein automaton, so that misspelt terms are found as well. Hits whose context window
+shows quotation, by its marks or by words that the labels show to announce it, are counted
+apart from the others. A logistic model, whose weights are all learnt, turns the counts
+into a score.
 """
 
 from __future__ import annotations
@@ -20,28 +22,34 @@ from pyspark.sql import functions as F
 
 from .common import read_table, staged, unit_hash
 
-#: Labelled rows that the model is fitted on, at most (in expectation).
+#: Labelled rows that the model is fitted on, at most (in expectation). All else is bounded by what these rows hold.
 FIT_ROWS = 20_000
-TERMS = 1000
 LEAST_DOCS = 3
 FUZZY_FROM = 5
 STEM_LENGTHS = (4, 5, 6)
 CONTEXT = 6
-QUOTED = 0.25
 THRESHOLD = 0.7
 EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»“”„‘’…–—¡¿"
 OPENING, CLOSING = "\"“„«‘'", "\"”“»’'"
-#: Words that announce someone else's words.
-REPORTING = frozenset("said says wrote writes called calls quoted quote quotes word words term terms insult insults slur sagte schrieb nannte zitat wort dit appelle mot citation dijo llama palabra cita".split())
+#: How much likelier a word that announces quotation stands before hits in documents of label 0 than in others, and in how many of them at least.
+CUE_ODDS, CUE_DOCS = 5, 10
+FEATURES = 6
 
 
 class Automaton:
-    """The lexicon's trie intersected with a Levenshtein automaton, made deterministic on demand."""
+    """The lexicon's trie intersected with a Levenshtein automaton, made deterministic on demand.
 
-    def __init__(self, terms: list[str], edits: int = 1, fuzzy_from: int = FUZZY_FROM):
+    Terms may be misspelt; a stem has to be as it is and may have any ending, but not none.
+    """
+
+    ENDING = -1  # the node of what follows a stem
+
+    def __init__(self, terms: list[str], stems: list[str] = (), edits: int = 1, fuzzy_from: int = FUZZY_FROM):
         self.next: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
-        for term in sorted(terms):
+        self.stem: set[int] = set()
+        terms_, stems_ = frozenset(terms), frozenset(stems)
+        for term in sorted({*terms, *stems}):
             node = 0
             for c in term:
                 if c not in self.next[node]:
@@ -49,7 +57,10 @@ class Automaton:
                     self.next.append({})
                     self.term.append(None)
                 node = self.next[node][c]
-            self.term[node] = term
+            if term in stems_:
+                self.stem.add(node)
+            if term in terms_:
+                self.term[node] = term
         self.edits, self.fuzzy_from = edits, fuzzy_from
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
@@ -62,7 +73,7 @@ class Automaton:
         """The number of a state: trie nodes with the fewest edits that reach them, closed under missing letters."""
         queue = list(reached.items())
         for node, e in queue:
-            if e < self.edits:
+            if e < self.edits and node != self.ENDING:
                 for child in self.next[node].values():
                     if reached.get(child, 99) > e + 1:
                         reached[child] = e + 1
@@ -72,13 +83,19 @@ class Automaton:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            ends = [(e, self.term[n]) for n, e in key if self.term[n] is not None and (e == 0 or len(self.term[n]) >= self.fuzzy_from)]
+            ends = [(e, self.term[n]) for n, e in key if n != self.ENDING and self.term[n] is not None and (e == 0 or len(self.term[n]) >= self.fuzzy_from)]
+            if self.ENDING in reached:
+                ends.append((0, ""))
             self.accepts.append(min(ends, default=None))
         return self.states[key]
 
     def move(self, at: int, c: str) -> int:
         reached: dict[int, int] = {}
         for node, e in self.sets[at]:
+            if node == self.ENDING or (e == 0 and node in self.stem):
+                reached[self.ENDING] = 0
+            if node == self.ENDING:
+                continue
             child = self.next[node].get(c)
             if child is not None:
                 reached[child] = min(e, reached.get(child, 99))
@@ -89,7 +106,7 @@ class Automaton:
         return found
 
     def match(self, word: str) -> tuple[int, str] | None:
-        """(edits, term) of the nearest term within the allowed edits."""
+        """(edits, term) of the nearest term within the allowed edits; no edits and "" where only a stem is met."""
         at, dead, moves = self.start, self.dead, self.moves
         for c in word:
             to = moves[at].get(c)
@@ -104,61 +121,50 @@ class Model:
     terms: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
     ordinary: list[str] = field(default_factory=list)  # near a term, but seen in texts that are not toxic
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
+    cues: list[str] = field(default_factory=list)  # words that announce quotation
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES))
 
 
 class Scanner:
     """A model made ready for one task."""
 
     def __init__(self, model: Model):
-        self.automaton = Automaton(model.terms)
-        self.stems, self.ordinary = frozenset(model.stems), frozenset(model.ordinary)
-        self.known: dict[str, tuple[str, int] | None] = {}
+        self.automaton = Automaton(model.terms, model.stems)
+        self.ordinary, self.cues = frozenset(model.ordinary), frozenset(model.cues)
+        self.known: dict[str, int | None] = {}
 
-    def look(self, word: str) -> tuple[str, int] | None:
-        """How a word hits: ("term", edits) or ("stem", 0)."""
+    def look(self, word: str) -> int | None:
+        """The edits to the nearest term, if the word is a hit."""
         found = self.automaton.match(word)
-        if found and found[0] == 0:
-            return "term", 0
-        if word in self.ordinary:
-            return None
-        if any(word[:n] in self.stems for n in STEM_LENGTHS if len(word) >= n):
-            return "stem", 0
-        return ("term", found[0]) if found else None
+        return None if found is None or (found[0] and word in self.ordinary) else found[0]
 
-    def counts(self, text: str) -> np.ndarray:
-        """Features of a text: 1, then log counts of exact, misspelt and stem hits by context, and their density."""
-        words = text.lower().split()
-        known, hits = self.known, []
+    def hits(self, words: list[str]) -> list[tuple[int, int]]:
+        """(place, edits) of the words, as they stand in the text, that hit."""
+        known = self.known
         if len(known) > 500_000:  # a bound for memory; never within a text
             known.clear()
+        wanted = set()
         for raw in set(words):
             if raw not in known:
                 known[raw] = self.look(raw.strip(EDGE))
-            if known[raw]:
-                hits.append(raw)
-        exact = fuzzy = stem = 0.0
-        if hits:
-            wanted = set(hits)
-            for i, raw in enumerate(words):
-                if raw in wanted:
-                    kind, edits = known[raw]
-                    weight = self.context(words, i)
-                    if kind == "stem":
-                        stem += weight
-                    elif edits:
-                        fuzzy += weight
-                    else:
-                        exact += weight
-        every = exact + 0.5 * fuzzy + stem
-        return np.array([1.0, math.log1p(exact), math.log1p(fuzzy), math.log1p(stem), 100 * every / (len(words) + 20)])
-
-    def context(self, words: list[str], i: int) -> float:
-        """1, or less where the window around a word shows quotation."""
+            if known[raw] is not None:
+                wanted.add(raw)
+        return [(i, known[raw]) for i, raw in enumerate(words) if raw in wanted] if wanted else []
+
+    def counts(self, text: str) -> np.ndarray:
+        """Features of a text: 1, then log counts of exact and of misspelt hits, of the same where they are quoted, and the density of those that are not."""
+        words = text.lower().split()
+        met = [[0, 0], [0, 0]]  # by quotation, then by spelling
+        for i, edits in self.hits(words):
+            met[self.quoted(words, i)][edits > 0] += 1
+        every = met[0][0] + 0.5 * met[0][1]
+        return np.array([1.0, *(math.log1p(n) for own in met for n in own), 100 * every / (len(words) + 20)])
+
+    def quoted(self, words: list[str], i: int) -> bool:
+        """Whether the window around a word shows quotation."""
         before, after = words[max(0, i - CONTEXT) : i + 1], words[i : i + CONTEXT + 1]
         opened = any(w[0] in OPENING for w in before) and any(w[-1] in CLOSING or w.rstrip(".,;:!?")[-1:] in tuple(CLOSING) for w in after)
-        told = any(w.strip(EDGE) in REPORTING for w in before[:-1])
-        return QUOTED if opened or told else 1.0
+        return opened or any(w.strip(EDGE) in self.cues for w in before[:-1])
 
 
 def word_counts(sample: DataFrame) -> DataFrame:
@@ -183,12 +189,12 @@ def telling(counts: DataFrame, n_pos: int, n_neg: int, key: str) -> DataFrame:
     return counts.where(fine).withColumn("gain", F.col("pos") * F.log(odds))
 
 
-def learn(labelled: DataFrame, fit_rows: int = FIT_ROWS, terms: int = TERMS) -> Model:
+def learn(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model from rows (doc_id, text, toxic); null labels teach nothing.
 
     ``labelled`` should hold ``fit_rows`` rows at most; equal texts count once. Seven in ten
-    rows, by a hash of the text, teach the lexicon, the others the weights. Without rows of
-    both labels every text scores the same.
+    rows, by a hash of the text, teach the lexicon, the others the weights (all rows, where
+    the others lack a label). Without rows of both labels every text scores the same.
     """
     rows = labelled.where("toxic is not null").groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("key")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = staged(rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(10))), "toxic-sample")
@@ -198,13 +204,11 @@ def learn(labelled: DataFrame, fit_rows: int = FIT_ROWS, terms: int = TERMS) ->
     model = Model()
     if n_pos and n_neg:
         counts = staged(word_counts(for_terms), "toxic-words")
-        best = telling(counts, n_pos, n_neg, "word").orderBy(F.desc("gain"), "word").limit(terms).collect()
-        model.terms = sorted(r["word"] for r in best)
+        model.terms = sorted(r["word"] for r in telling(counts, n_pos, n_neg, "word").select("word").collect())
         # Stems: what several telling words begin with, and no other words do.
         pieces = counts.select(F.explode(F.array_distinct(F.array(*[F.substring("word", 1, n) for n in STEM_LENGTHS]))).alias("stem"), "word", "pos", "neg").where(F.length("stem") < F.length("word"))
         stems = pieces.groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum((F.col("pos") >= 2).cast("int")).alias("words"))
-        strong = telling(stems.where("words >= 3"), n_pos, n_neg, "stem").where("neg * 100 <= pos").orderBy(F.desc("gain"), "stem").limit(terms).collect()
-        model.stems = sorted(r["stem"] for r in strong)
+        model.stems = sorted(r["stem"] for r in telling(stems.where("words >= 3"), n_pos, n_neg, "stem").where("neg * 100 <= pos").select("stem").collect())
         automaton_terms = model.terms
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,20 +220,48 @@ def learn(labelled: DataFrame, fit_rows: int = FIT_ROWS, terms: int = TERMS) ->
         seen = counts.where("neg > 0 and neg * 20 >= pos").select("word").mapInPandas(near, "word string")
         model.ordinary = sorted(r["word"] for r in seen.collect())
 
+        model.cues = cue_words(for_terms, model)
+
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(model)
         for batch in batches:
-            f = np.array([scanner.counts(t or "") for t in batch["text"]]).reshape(-1, 5)
-            yield pd.DataFrame({"toxic": batch["toxic"].astype(float), **{f"f{i}": f[:, i] for i in range(5)}})
-
-    seen = rows.where("part >= 7").select("text", F.col("toxic").cast("double").alias("toxic")).mapInPandas(features, "toxic double, " + ", ".join(f"f{i} double" for i in range(5))).toPandas()  # at most fit_rows rows
-    if seen["toxic"].nunique() == 2:
-        model.weights = logistic(seen[[f"f{i}" for i in range(5)]].to_numpy(), seen["toxic"].to_numpy())
-    elif n_pos and n_neg:
-        model.weights = np.array([-4.0, 5.0, 2.0, 5.0, 0.0])
+            f = np.array([scanner.counts(t or "") for t in batch["text"]]).reshape(-1, FEATURES)
+            yield pd.DataFrame({"toxic": batch["toxic"].astype(float), **{f"f{i}": f[:, i] for i in range(FEATURES)}})
+
+    def measured(some: DataFrame) -> pd.DataFrame:
+        """At most fit_rows rows."""
+        return some.select("text", F.col("toxic").cast("double").alias("toxic")).mapInPandas(features, "toxic double, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toPandas()
+
+    if n_pos and n_neg:
+        seen = measured(rows.where("part >= 7"))
+        if seen["toxic"].nunique() < 2:
+            seen = measured(rows)
+        model.weights = logistic(seen[[f"f{i}" for i in range(FEATURES)]].to_numpy(), seen["toxic"].to_numpy())
     return model
 
 
+def cue_words(sample: DataFrame, model: Model) -> list[str]:
+    """Words in the windows before hits that are CUE_ODDS times likelier where the document's label is 0: they announce quotation."""
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scanner = Scanner(model)
+        for batch in batches:
+            out = []
+            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+                words = (text or "").lower().split()
+                found = {words[j].strip(EDGE) for i, _ in scanner.hits(words) for j in range(max(0, i - CONTEXT), i)}
+                out += [(w, int(toxic)) for w in {"", *found}] if scanner.hits(words) else []
+            yield pd.DataFrame(out, columns=["word", "toxic"])
+
+    met = sample.select("text", "toxic").mapInPandas(near, "word string, toxic int").groupBy("word").agg(F.sum("toxic").cast("long").alias("pos"), F.sum(1 - F.col("toxic")).cast("long").alias("neg"))
+    met = staged(met, "toxic-cues")
+    whole = met.where("word = ''").first()  # documents with hits
+    if whole is None or not whole["neg"]:
+        return []
+    odds = (F.col("neg") / whole["neg"]) / ((F.col("pos") + 0.5) / (whole["pos"] + 1))
+    return sorted(r["word"] for r in met.where((F.col("word") != "") & (F.col("neg") >= CUE_DOCS) & (odds >= CUE_ODDS)).select("word").collect())
+
+
 def logistic(x: np.ndarray, y: np.ndarray, hold: float = 0.1) -> np.ndarray:
     """Ridge logistic regression by damped Newton steps; hits never count against toxicity."""
     w = np.zeros(x.shape[1])
@@ -247,14 +279,15 @@ def logistic(x: np.ndarray, y: np.ndarray, hold: float = 0.1) -> np.ndarray:
 def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns in ``keep`` and the score, 0 to 1, of each whole text.
 
-    Null and empty texts have no hits, and the score of a text without hits.
+    Null and empty texts have no hits, and the score of a text without hits. Repeated rows
+    get equal answers; an empty table gives an empty result.
     """
     slim = documents.select(*keep, F.col("text").alias("__text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(model)
         for batch in batches:
-            f = np.array([scanner.counts(t or "") for t in batch["__text"]]).reshape(-1, 5)
+            f = np.array([scanner.counts(t or "") for t in batch["__text"]]).reshape(-1, FEATURES)
             out = batch.drop(columns="__text")
             out["score"] = 1 / (1 + np.exp(-np.clip(f @ model.weights, -30, 30)))
             yield out
