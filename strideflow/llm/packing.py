@@ -1,33 +1,34 @@
 """Best-fit packing in bulk-synchronous rounds.
 
 Documents are token sequences; a sequence of the output holds at most ``capacity`` tokens.
-Lengths and gaps are whole numbers up to the capacity, so documents and gaps that are
-sorted by range fall into at most ``capacity`` classes, whatever the number of documents.
-A round takes the longest class that is left and sweeps the gaps upward from the first
-that can hold it (its successor); a class of documents and a class of gaps are matched at
-once, conflicts are resolved by rank (the documents of lowest rank take the gaps of lowest
-number), the gaps are updated, and the next round begins; documents without a successor
-open new sequences. That is best-fit decreasing, with state bounded by the capacity alone.
-Tokenising, ranking within a length and giving each piece its place are distributed.
+Documents go from long to short, in bands of length. In a round, the documents of the band
+and the gaps of the open sequences are sorted by range, and every task sweeps its range
+for successors: each document goes to the smallest gap that can hold it, and where several
+want a gap the longest has it. What finds no partner in its range is ranked there; counts
+for each range say which ranks of which ranges meet. Gaps are updated and the next round
+begins, until nothing fits; then sequences are opened, as many as the tokens left need
+beyond the gaps. Short documents travel in bundles of equal ones, which are halved when
+they fit nowhere. What the driver holds is a few numbers for each range.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_rows, read_table, staged, unit_hash, within_rank
+from .common import group_rows, partitions, read_table, staged, unit_hash, within_rank
 
 CAPACITY = 2048
 END_ID = 0
+#: The part of the capacity that a bundle of short documents has at most, and rows that a task sweeps.
+BUNDLE, SWEPT = 16, 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -67,6 +68,7 @@ def tokenised(documents: DataFrame, capacity: int = CAPACITY, end_id: int = END_
 
     A null text is an empty one, and so a piece of the end id alone. A document longer than
     the capacity is cut into pieces of exactly the capacity; only its first may be shorter.
+    Repeated rows are cut each; an empty table gives an empty result. Other columns are not read.
     """
     files = files or tokenizer_files()
 
@@ -89,58 +91,156 @@ def tokenised(documents: DataFrame, capacity: int = CAPACITY, end_id: int = END_
     return slim.mapInPandas(cut, PIECES + ", ids array<int>" * keep_ids)
 
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarray]:
-    """The plan for ``counts`` documents of each length, as runs.
+def nested(is_gap: np.ndarray) -> np.ndarray:
+    """The partner (its place, or -1) of each of the documents and gaps that are sorted by size, a document before a gap of its size.
 
-    A run says: documents of ``length`` whose rank is from ``rank`` up to the next run's
-    take sequences from ``sequence`` on, one each (``per`` of them share one sequence,
-    side by side, in runs that open sequences), at ``offset``.
+    Gaps from the smallest up take the longest document before them that is still free:
+    the pairs that documents from the longest down make with their smallest gap.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences (first, count)
-    sizes: list[int] = []  # gaps that exist, ascending
-    runs: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def leave(gap: int, first: int, count: int) -> None:
-        if gap > 0 and count > 0:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(sizes, gap)
-            heapq.heappush(gaps[gap], (first, count))
-
-    for length in sorted((k for k, n in counts.items() if n > 0), reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(sizes, length)
-            if at == len(sizes):  # no successor: open sequences, each with as many as fit
-                per = capacity // length
-                count = -(-left // per)
-                runs.append((length, rank, opened, 0, per))
-                last = left - (count - 1) * per
-                leave(capacity - per * length, opened, count - (last < per))
-                if last < per:
-                    leave(capacity - last * length, opened + count - 1, 1)
-                opened += count
-                left = 0
-                continue
-            gap = sizes[at]
-            first, count = heapq.heappop(gaps[gap])
-            if not gaps[gap]:
-                del gaps[gap]
-                sizes.pop(at)
-            per = gap // length  # after one is in, the same gap, now smaller, is still the best if it fits
-            take = min(count, -(-left // per))
-            runs.append((length, rank, first, capacity - gap, per))
-            filled = min(left, take * per)
-            last = filled - (take - 1) * per
-            leave(gap - per * length, first, take - (last < per))
-            if last < per:
-                leave(gap - last * length, first + take - 1, 1)
-            leave(gap, first + take, count - take)
-            rank, left = rank + filled, left - filled
-    names = ("length", "rank", "sequence", "offset", "per")
-    columns = np.array(runs, dtype=np.int64).reshape(-1, 5)
-    return {name: columns[:, i].copy() for i, name in enumerate(names)}
+    out = np.full(len(is_gap), -1, dtype=np.int64)
+    depth = np.cumsum(np.where(is_gap, -1, 1)) + is_gap  # of the document itself, and of the one that a gap closes
+    order = np.argsort(depth, kind="stable")
+    pair = np.flatnonzero((depth[order][1:] == depth[order][:-1]) & ~is_gap[order][:-1] & is_gap[order][1:])
+    out[order[pair]], out[order[pair + 1]] = order[pair + 1], order[pair]
+    return out
+
+
+def between(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Which of the free documents and gaps of ranges meet: (document range, first rank, gap range, first rank, count, first pair).
+
+    ``ranges``: number, free gaps, free documents, by size. Documents are ranked from the
+    longest down, gaps from the smallest up; in a range, free gaps are below free documents.
+    """
+    out, pairs = [], 0
+    left: list[list[int]] = []  # range, free documents, those that are taken
+    for number, gaps, documents in sorted(ranges):
+        done = 0
+        while done < gaps and left:
+            n = min(gaps - done, left[-1][1] - left[-1][2])
+            out.append((left[-1][0], left[-1][2], number, done, n, pairs))
+            done, pairs = done + n, pairs + n
+            left[-1][2] += n
+            if left[-1][2] == left[-1][1]:
+                left.pop()
+        if documents:
+            left.append([number, documents, 0])
+    return out
+
+
+ITEM = "unit long, first long, count long"
+STATE = ("kind", "unit", "first", "count", "seq", "gap")
+
+
+def swept(documents: DataFrame, gaps: DataFrame, rows: int) -> DataFrame:
+    """One round: a row for each pair (kind ``pair``) and for each document or gap without a partner (``doc``, ``gap``).
+
+    ``documents``: unit, first, count (``count`` documents of ``unit`` tokens, by rank from
+    ``first`` on); ``gaps``: seq, gap. Columns as in STATE.
+    """
+    spark = documents.sparkSession
+    none = F.lit(None).cast("long")
+    items = documents.select((F.col("unit") * F.col("count")).alias("size"), F.lit(0).alias("is_gap"), F.xxhash64("unit", "first").alias("tie"), "unit", "first", "count", none.alias("seq"))
+    items = items.unionByName(gaps.select(F.col("gap").alias("size"), F.lit(1).alias("is_gap"), F.xxhash64("seq").alias("tie"), none.alias("unit"), none.alias("first"), none.alias("count"), "seq"))
+    order = ["size", "is_gap", "tie", "unit", "first", "seq"]
+    ranged = items.repartitionByRange(max(1, min(partitions(spark), -(-rows // SWEPT))), *order).sortWithinPartitions(*order)
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        own = pd.concat(held, ignore_index=True)
+        is_gap = own["is_gap"].to_numpy() == 1
+        partner = nested(is_gap)
+        free = partner < 0
+        paired = np.flatnonzero(~free & ~is_gap)
+        met = own.loc[paired, ["unit", "first", "count"]].assign(kind="pair", seq=own["seq"].to_numpy()[partner[paired]], gap=own["size"].to_numpy()[partner[paired]], rank=0)
+        documents, gaps = own[free & ~is_gap].iloc[::-1], own[free & is_gap]
+        alone = pd.concat([
+            documents[["unit", "first", "count"]].assign(kind="doc", rank=np.arange(len(documents))),
+            gaps[["seq"]].assign(kind="gap", gap=gaps["size"], rank=np.arange(len(gaps))),
+        ])
+        out = pd.concat([met, alone]).assign(part=TaskContext.get().partitionId())
+        yield out.reindex(columns=[*STATE, "rank", "part"]).astype({c: "Int64" for c in ("unit", "first", "count", "seq", "gap")})
+
+    local = staged(ranged.mapInPandas(sweep, f"kind string, {ITEM}, seq long, gap long, rank long, part int"), "pack-swept")
+    sizes: dict[int, list[int]] = {}
+    for r in local.where("kind <> 'pair'").groupBy("part", "kind").agg(F.count(F.lit(1)).alias("n")).collect():  # two numbers for each range
+        sizes.setdefault(r["part"], [0, 0])[r["kind"] == "doc"] = r["n"]
+    met = between([(part, *n) for part, n in sizes.items()])
+    if not met:
+        return local.select(*STATE)
+    meeting = spark.createDataFrame([(kind, part, rank, rank + n - 1, pair) for d, i, g, j, n, pair in met for kind, part, rank in (("doc", d, i), ("gap", g, j))], "k string, p int, low long, high long, pair long")
+    where = (F.col("kind") == F.col("k")) & (F.col("part") == F.col("p")) & F.col("rank").between(F.col("low"), F.col("high"))
+    # Twice as many rows as ranges at most.
+    free = local.where("kind <> 'pair'").join(F.broadcast(meeting), where, "left").withColumn("pair", F.col("pair") + F.col("rank") - F.col("low"))
+    documents = free.where("kind = 'doc' and pair is not null").select("unit", "first", "count", "pair")
+    taken = free.where("kind = 'gap' and pair is not null").select("seq", "gap", F.col("pair").alias("q"))
+    crossed = documents.join(taken, F.col("pair") == F.col("q")).select(F.lit("pair").alias("kind"), "unit", "first", "count", "seq", "gap")
+    return local.where("kind = 'pair'").select(*STATE).unionByName(crossed).unionByName(free.where("pair is null").select(*STATE))
+
+
+def placed(ranked: DataFrame, counts: dict[int, int], capacity: int) -> DataFrame:
+    """unit, first, count, seq and the gap that was there, for all documents; ``ranked``: length and __at, the rank within it.
+
+    ``counts``: documents of each length.
+    """
+    spark = ranked.sparkSession
+    widest = max(1, capacity // BUNDLE)
+    bundle = F.floor(F.col("__at") / F.greatest(F.floor(F.lit(widest) / F.col("length")), F.lit(1)))
+    items = ranked.groupBy(F.col("length").alias("unit"), bundle.alias("b")).agg(F.min("__at").alias("first"), F.count(F.lit(1)).alias("count")).select("unit", "first", "count")
+    items = staged(items, "pack-items")
+    remaining, room, opened = sum(n * length for length, n in counts.items()), 0, 0
+    gaps = spark.createDataFrame([], "seq long, gap long")
+    done: list[DataFrame] = []
+    halved: DataFrame | None = None
+    high = capacity
+    while high:
+        low = high // 2
+        size = F.col("unit") * F.col("count")
+        documents = items.where((size > low) & (size <= high))
+        if halved is not None:
+            documents = documents.unionByName(halved.where((size > low) & (size <= high)))
+            below = halved.where(size <= low)
+        while True:
+            about = documents.agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("least"), F.sum(size).alias("tokens"), F.max("count").alias("count")).first()
+            if not about["n"]:
+                break
+            open_ = gaps.where(F.col("gap") >= about["least"])
+            n_gaps = open_.count()
+            if not n_gaps:
+                need = -(-(remaining - room) // capacity)
+                if need <= 0 and about["count"] > 1:
+                    # There is room, if only for less at once: bundles are halved and come again with shorter ones.
+                    half = F.floor(F.col("count") / 2).cast("long")
+                    twice = documents.where("count > 1").withColumn("half", half)
+                    parts = twice.select("unit", "first", F.col("half").alias("count")).unionByName(twice.select("unit", (F.col("first") + F.col("half")).alias("first"), (F.col("count") - F.col("half")).alias("count")))
+                    halved = staged(parts if halved is None else parts.unionByName(below), "pack-halved")
+                    below = halved.where(size <= low)
+                    documents = staged(documents.where("count = 1").unionByName(halved.where(size > low)), "pack-left")
+                    continue
+                if need <= 0:
+                    need = -(-about["tokens"] // capacity)
+                if high == capacity:
+                    need = max(need, about["n"])  # no two fit together
+                fresh = spark.range(opened, opened + need).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+                gaps, opened, room = gaps.unionByName(fresh), opened + need, room + need * capacity
+                open_, n_gaps = fresh, need
+            state = staged(swept(documents, open_, about["n"] + n_gaps), "pack-round")
+            pairs = state.where("kind = 'pair'")
+            done.append(pairs)
+            used = pairs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+            remaining, room = remaining - used, room - used
+            closed = gaps.where(F.col("gap") < about["least"])
+            changed = pairs.select("seq", (F.col("gap") - size).alias("gap")).where("gap > 0")
+            gaps = staged(closed.unionByName(changed).unionByName(state.where("kind = 'gap'").select("seq", "gap")), "pack-gaps")
+            documents = state.where("kind = 'doc'").select("unit", "first", "count")
+        if halved is not None:
+            halved = below
+        high = low
+    out = done[0]
+    for pairs in done[1:]:
+        out = out.unionByName(pairs)
+    return out
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -151,27 +251,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
-    plan = best_fit(counts, capacity)
+    if not counts:
+        return pieces.withColumn("sequence_id", F.lit(None).cast("long")).withColumn("offset", F.lit(None).cast("long"))
     salt = unit_hash("doc_id", "piece", "start")
     order = [F.col("doc_id"), F.col("piece"), F.col("start")]
-    ranked = within_rank(pieces, "length", salt, order, "__at", group_rows(sum(counts.values()), spark))
-    # Runs are sorted by length and rank: one number finds a piece's run.
-    by = np.lexsort((plan["rank"], plan["length"]))
-    plan = {k: v[by] for k, v in plan.items()}
-    keys = (plan["length"] << 44) + plan["rank"]
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            length, rank = batch["length"].to_numpy(np.int64), batch["__at"].to_numpy(np.int64)
-            run = np.searchsorted(keys, (length << 44) + rank, side="right") - 1
-            within = rank - plan["rank"][run]
-            out = batch.drop(columns="__at")
-            out["sequence_id"] = plan["sequence"][run] + within // plan["per"][run]
-            out["offset"] = plan["offset"][run] + within % plan["per"][run] * length
-            yield out
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields]
-    return ranked.select(*pieces.columns, "__at").mapInPandas(place, ", ".join([*fields, "sequence_id long", "offset long"]))
+    ranked = staged(within_rank(pieces, "length", salt, order, "__at", group_rows(sum(counts.values()), spark)), "pack-ranked")
+    runs = placed(ranked.select("length", "__at"), counts, capacity)
+    turn = runs.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    spots = turn.select(
+        F.col("unit").alias("__unit"), (F.col("first") + F.col("turn")).alias("__rank"), F.col("seq").alias("sequence_id"),
+        (F.lit(capacity) - F.col("gap") + F.col("turn") * F.col("unit")).alias("offset"),
+    )
+    return ranked.join(spots, (F.col("length") == F.col("__unit")) & (F.col("__at") == F.col("__rank"))).select(*pieces.columns, "sequence_id", "offset")
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

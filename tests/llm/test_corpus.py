@@ -197,25 +197,67 @@ def test_packing_round_trip(spark, docs):
         assert (own.length.to_numpy()[1:] == 2048).all()
 
 
-def test_best_fit_is_best_fit_decreasing():
+def by_hand(documents, gaps):
+    """Documents from the longest down, each to the smallest gap that can hold it; every gap once."""
+    free, out = sorted(gaps), []
+    for d in sorted(documents, reverse=True):
+        fit = [g for g in free if g >= d]
+        if fit:
+            free.remove(min(fit))
+            out.append((d, min(fit)))
+    return sorted(out)
+
+
+def test_a_sweep_is_best_fit_from_the_longest_down():
     r = random.Random(4)
-    for _ in range(20):
-        sizes = sorted((r.randint(1, 100) for _ in range(200)), reverse=True)
-        gaps = []
-        for s in sizes:
-            fit = [g for g in gaps if g >= s]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - s)
-            else:
-                gaps.append(100 - s)
-        plan = packing.best_fit({s: sizes.count(s) for s in set(sizes)}, 100)
-        used = set()
-        for k, length in enumerate(plan["length"]):
-            ends = [plan["rank"][j] for j in range(len(plan["rank"])) if plan["length"][j] == length and plan["rank"][j] > plan["rank"][k]]
-            n = min(ends, default=sizes.count(length)) - plan["rank"][k]
-            used |= {plan["sequence"][k] + i // plan["per"][k] for i in range(n)}
-        assert len(used) <= len(gaps) + 1
+    for _ in range(300):
+        documents, gaps = ([r.randint(1, 30) for _ in range(r.randint(0, 40))] for _ in range(2))
+        items = sorted([(d, 0) for d in documents] + [(g, 1) for g in gaps])
+        partner = packing.nested(np.array([g == 1 for _, g in items], dtype=bool))
+        assert sorted((items[i][0], items[j][0]) for i, j in enumerate(partner) if j >= 0 and items[i][1] == 0) == by_hand(documents, gaps)
+        # The same in ranges, with counts of what each range leaves.
+        cuts = sorted(r.randint(0, len(items)) for _ in range(r.randint(0, 5)))
+        ranges, found, free = [], [], {}
+        for k, (i, j) in enumerate(zip([0, *cuts], [*cuts, len(items)], strict=True)):
+            own = items[i:j]
+            partner = packing.nested(np.array([g == 1 for _, g in own], dtype=bool))
+            found += [(own[a][0], own[b][0]) for a, b in enumerate(partner) if b >= 0 and own[a][1] == 0]
+            free[k] = [x for (x, g), p in zip(own, partner, strict=True) if p < 0 and not g][::-1], [x for (x, g), p in zip(own, partner, strict=True) if p < 0 and g]
+            ranges.append((k, len(free[k][1]), len(free[k][0])))
+        for d, i, g, j, n, _ in packing.between(ranges):
+            found += list(zip(free[d][0][i : i + n], free[g][1][j : j + n], strict=True))
+        assert sorted(found) == by_hand(documents, gaps)
+
+
+def test_a_round_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SWEPT", 40)
+    r = random.Random(5)
+    documents, gaps = [r.randint(1, 60) for _ in range(400)], [r.randint(1, 60) for _ in range(300)]
+    got = packing.swept(
+        spark.createDataFrame([(d, i, 1) for i, d in enumerate(documents)], packing.ITEM).repartition(3), spark.createDataFrame(list(enumerate(gaps)), "seq long, gap long"), 700
+    ).collect()
+    pairs = [(documents[x["first"]], gaps[x["seq"]]) for x in got if x.kind == "pair"]
+    assert sorted(pairs) == by_hand(documents, gaps) and all(x.gap == gaps[x.seq] and x.unit == documents[x["first"]] for x in got if x.kind == "pair")
+    assert sorted([x["first"] for x in got if x.kind != "gap"]) == list(range(400)) and sorted([x.seq for x in got if x.kind != "doc"]) == list(range(300))
+
+
+@pytest.mark.parametrize("kind", ["mixed", "tiny", "half", "equal"])
+def test_packing_is_near_the_bound(spark, kind):
+    r = random.Random(6)
+    size = {"mixed": lambda: min(128, int(r.expovariate(0.05)) + 1), "tiny": lambda: r.randint(1, 3), "half": lambda: r.randint(50, 70), "equal": lambda: 65}[kind]
+    pieces = [(i, 0, 0, size()) for i in range(900)] + [(None, 0, 0, 4)] * 3
+    got = packing.pack(spark.createDataFrame(pieces, "doc_id long, piece int, start long, length long"), 128).toPandas()
+    assert sorted(got.length) == sorted(p[3] for p in pieces)
+    for _, own in got.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= 128
+    free: list = []  # best fit decreasing, one after the other
+    for length in sorted((p[3] for p in pieces), reverse=True):
+        fit = [g for g in free if g >= length]
+        if fit:
+            free.remove(min(fit))
+        free.append((min(fit) if fit else 128) - length)
+    assert got.sequence_id.nunique() <= 1.02 * len(free) + 1
 
 
 def test_near_duplicates_match_brute_force(spark):
