@@ -29,7 +29,7 @@ BLOCK = 2048
 #: Parts that the index is dealt into for each block of queries; each gives the best k of its own.
 LANES = 8
 #: Shares of the postings, by falling impact, at which segments end.
-QUANTILES = (0.125, 0.3, 0.5, 0.7, 0.85, 1.0)
+QUANTILES = (0.4, 0.6, 0.75, 0.87, 1.0)
 #: Possible members, as a multiple of k, that are few enough to be scored one by one.
 FEW = 2
 WIDTHS = ("<i2", "<i4", "<i8")
@@ -97,17 +97,17 @@ class ImpactIndex:
         self.ends = [int(np.ceil(q * len(order))) for q in quantiles]
         self.square = (values.astype(np.float64) ** 2).sum(axis=1)
 
-    def segments(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def segments(self, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of each segment: its postings and where they are, as tables of vectors by dimensions, and the norms of what is left."""
         left, start = self.square.copy(), 0
         for end in self.ends:
             own = slice(start, end)
-            posted, there = np.zeros(self.values.shape), np.zeros(self.values.shape)
+            posted, there = np.zeros(self.values.shape, kind), np.zeros(self.values.shape, kind)
             posted[self.vec[own], self.dim[own]] = self.value[own]
             there[self.vec[own], self.dim[own]] = 1.0
             left -= np.bincount(self.vec[own], self.value[own] ** 2, minlength=len(left))
             start = end
-            yield posted, there, np.sqrt(np.maximum(left, 0)) if end < len(self.vec) else np.zeros(len(left))
+            yield posted, there, (np.sqrt(np.maximum(left, 0)) if end < len(self.vec) else np.zeros(len(left))).astype(kind)
 
 
 class Best:
@@ -121,32 +121,40 @@ class Best:
 
     def meet(self, index: ImpactIndex) -> None:
         k, n = self.k, len(index.rows)
-        dim = max(self.values.shape[1], index.values.shape[1])
-        q = np.pad(self.values, ((0, 0), (0, dim - self.values.shape[1]))).astype(np.float64)
-        narrow = q[:, : index.values.shape[1]]
+        dim = index.values.shape[1]
+        q = np.pad(self.values, ((0, 0), (0, max(0, dim - self.values.shape[1]))))[:, :dim].astype(np.float64)
+        # Sums of products are whole numbers; small ones are exact in either kind.
+        most = max((q**2).sum(axis=1).max(initial=0), index.square.max(initial=0))
+        kind, error = (np.float32, 1e-5) if most < 1 << 22 else (np.float64, 1e-9)
+        narrow, floor = q.astype(kind), self.floor.astype(kind) - kind(error) * np.abs(np.where(np.isfinite(self.floor), self.floor, 0)).astype(kind)
         square = narrow**2
         norms = square.sum(axis=1)
-        whole = np.sqrt(norms[:, None] * index.square[None, :])
-        slack = whole * 1e-9 + 1e-6
-        possible = (index.rows[None, :] != self.rows[:, None]) & (whole + slack >= self.floor[:, None])
-        score, done = np.zeros((len(q), n)), np.zeros((len(q), n))
+        whole = np.sqrt(norms)[:, None] * np.sqrt(index.square).astype(kind)[None, :]
+        slack = kind(error) * whole + kind(1e-3)
+        possible = whole + slack >= floor[:, None]
+        possible &= index.rows[None, :] != self.rows[:, None]
+        score, done = np.zeros((len(q), n), kind), np.zeros((len(q), n), kind)
         open_ = np.flatnonzero(possible.any(axis=1))
         self.stops["before"] += len(q) - len(open_)
+        score, done, possible_, slack, floor = (x[open_] for x in (score, done, possible, slack, floor))
         last = len(index.ends) - 1
-        for s, (posted, there, left) in enumerate(index.segments()):
-            score[open_] += narrow[open_] @ posted.T
-            done[open_] += square[open_] @ there.T
-            bound = np.sqrt(np.maximum(norms[open_, None] - done[open_], 0)) * left[None, :] + slack[open_]
-            floor = self.floor[open_]
-            if n >= k:
-                low = np.where(possible[open_], score[open_] - bound, -np.inf)
+        for s, (posted, there, left) in enumerate(index.segments(kind)):
+            score += narrow[open_] @ posted.T
+            done += square[open_] @ there.T
+            bound = np.sqrt(np.maximum(norms[open_, None] - done, 0))
+            bound *= left
+            bound += slack
+            if n >= k and not np.isfinite(floor).all():  # nothing is known yet: the block's own k-th least score
+                low = np.where(possible_, score - bound, -np.inf)
                 floor = np.maximum(floor, np.partition(low, n - k, axis=1)[:, n - k])
-            possible[open_] &= score[open_] + bound >= floor[:, None]
+            bound += score
+            possible_ &= bound >= floor[:, None]
+            possible[open_] = possible_
             # Proof: no other vector can be among the best k, so the few that can are scored one by one.
-            stop = possible[open_].sum(axis=1) <= FEW * k
-            if s < last:
+            stop = possible_.sum(axis=1) <= FEW * k
+            if s < last and stop.any():
                 self.stops["within"] += int(stop.sum())
-                open_ = open_[~stop]
+                open_, score, done, possible_, slack, floor = (x[~stop] for x in (open_, score, done, possible_, slack, floor))
             if not len(open_):
                 break
         self.stops["end"] += len(open_)
