@@ -7,7 +7,8 @@ for successors: each document goes to the smallest gap that can hold it, and whe
 want a gap the longest has it. What finds no partner in its range is ranked there; counts
 for each range say which ranks of which ranges meet. Gaps are updated and the next round
 begins, until nothing fits; then sequences are opened, as many as the tokens left need
-beyond the gaps. Short documents travel in bundles of equal ones, which are halved when
+beyond the gaps. Where documents outnumber gaps, a wide gap counts as several for a round.
+Short documents travel in bundles of equal ones, which are halved when
 they fit nowhere. What the driver holds is a few numbers for each range.
 """
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import group_rows, partitions, read_table, staged, unit_hash, within_rank
@@ -179,8 +180,15 @@ def swept(documents: DataFrame, gaps: DataFrame, rows: int) -> DataFrame:
     return local.where("kind = 'pair'").select(*STATE).unionByName(crossed).unionByName(free.where("pair is null").select(*STATE))
 
 
+def parted(gaps: DataFrame, width: int, times: int) -> DataFrame:
+    """Gaps (seq, gap) as up to ``times`` ones of ``width`` tokens at least, as far as they hold them."""
+    t = F.greatest(F.least(F.floor(F.col("gap") / width), F.lit(times)), F.lit(1)).cast("long")
+    rest = F.array_repeat(F.lit(width).cast("long"), (t - 1).cast("int"))
+    return gaps.select("seq", F.explode(F.concat(F.array(F.col("gap") - (t - 1) * width), rest)).alias("gap"))
+
+
 def placed(ranked: DataFrame, counts: dict[int, int], capacity: int) -> DataFrame:
-    """unit, first, count, seq and the gap that was there, for all documents; ``ranked``: length and __at, the rank within it.
+    """unit, first, count and seq for all documents; ``ranked``: length and __at, the rank within it.
 
     ``counts``: documents of each length.
     """
@@ -189,34 +197,30 @@ def placed(ranked: DataFrame, counts: dict[int, int], capacity: int) -> DataFram
     bundle = F.floor(F.col("__at") / F.greatest(F.floor(F.lit(widest) / F.col("length")), F.lit(1)))
     items = ranked.groupBy(F.col("length").alias("unit"), bundle.alias("b")).agg(F.min("__at").alias("first"), F.count(F.lit(1)).alias("count")).select("unit", "first", "count")
     items = staged(items, "pack-items")
+    size = F.col("unit") * F.col("count")
+    doc, gap = F.col("kind") == "doc", F.when(F.col("kind") == "pair", F.col("gap") - size).when(F.col("kind") == "gap", F.col("gap"))
     remaining, room, opened = sum(n * length for length, n in counts.items()), 0, 0
-    gaps = spark.createDataFrame([], "seq long, gap long")
+    gaps, widest_gap, open_ = spark.createDataFrame([], "seq long, gap long"), 0, 0
     done: list[DataFrame] = []
     halved: DataFrame | None = None
     high = capacity
     while high:
-        low = high // 2
-        size = F.col("unit") * F.col("count")
+        low = high // 2 if high > widest else high // 4
         documents = items.where((size > low) & (size <= high))
         if halved is not None:
-            documents = documents.unionByName(halved.where((size > low) & (size <= high)))
-            below = halved.where(size <= low)
-        while True:
-            about = documents.agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("least"), F.sum(size).alias("tokens"), F.max("count").alias("count")).first()
-            if not about["n"]:
-                break
-            open_ = gaps.where(F.col("gap") >= about["least"])
-            n_gaps = open_.count()
-            if not n_gaps:
+            documents, halved = documents.unionByName(halved.where((size > low) & (size <= high))), halved.where(size <= low)
+        about = documents.agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("least"), F.sum(size).alias("tokens"), F.max("count").alias("bundled")).first()
+        while about["n"]:
+            if widest_gap < about["least"]:
                 need = -(-(remaining - room) // capacity)
-                if need <= 0 and about["count"] > 1:
-                    # There is room, if only for less at once: bundles are halved and come again with shorter ones.
+                if need <= 0 and about["bundled"] > 1:
+                    # There is room, if only for less at once: bundles are halved, and come again with shorter ones.
                     half = F.floor(F.col("count") / 2).cast("long")
                     twice = documents.where("count > 1").withColumn("half", half)
                     parts = twice.select("unit", "first", F.col("half").alias("count")).unionByName(twice.select("unit", (F.col("first") + F.col("half")).alias("first"), (F.col("count") - F.col("half")).alias("count")))
-                    halved = staged(parts if halved is None else parts.unionByName(below), "pack-halved")
-                    below = halved.where(size <= low)
-                    documents = staged(documents.where("count = 1").unionByName(halved.where(size > low)), "pack-left")
+                    parts = staged(parts if halved is None else parts.unionByName(halved), "pack-halved")
+                    documents, halved = staged(documents.where("count = 1").unionByName(parts.where(size > low)), "pack-left"), parts.where(size <= low)
+                    about = documents.agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("least"), F.sum(size).alias("tokens"), F.max("count").alias("bundled")).first()
                     continue
                 if need <= 0:
                     need = -(-about["tokens"] // capacity)
@@ -224,18 +228,22 @@ def placed(ranked: DataFrame, counts: dict[int, int], capacity: int) -> DataFram
                     need = max(need, about["n"])  # no two fit together
                 fresh = spark.range(opened, opened + need).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap"))
                 gaps, opened, room = gaps.unionByName(fresh), opened + need, room + need * capacity
-                open_, n_gaps = fresh, need
-            state = staged(swept(documents, open_, about["n"] + n_gaps), "pack-round")
-            pairs = state.where("kind = 'pair'")
-            done.append(pairs)
-            used = pairs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-            remaining, room = remaining - used, room - used
-            closed = gaps.where(F.col("gap") < about["least"])
-            changed = pairs.select("seq", (F.col("gap") - size).alias("gap")).where("gap > 0")
-            gaps = staged(closed.unionByName(changed).unionByName(state.where("kind = 'gap'").select("seq", "gap")), "pack-gaps")
-            documents = state.where("kind = 'doc'").select("unit", "first", "count")
-        if halved is not None:
-            halved = below
+                open_ += need
+            times = -(-about["n"] // max(open_, 1))
+            state = staged(swept(documents, parted(gaps, high, times) if times > 1 else gaps, about["n"] + opened), "pack-round")
+            done.append(state.where("kind = 'pair'"))
+            left = F.when(doc, size)
+            about = state.agg(
+                F.count(left).alias("n"), F.min(left).alias("least"), F.sum(left).alias("tokens"), F.max(F.when(doc, F.col("count"))).alias("bundled"),
+                F.coalesce(F.max(gap), F.lit(0)).alias("widest"), F.count(F.when(gap >= about["least"], 1)).alias("open"), F.coalesce(F.sum(F.when(F.col("kind") == "pair", size)), F.lit(0)).alias("used"),
+            ).first()
+            remaining, room, open_ = remaining - about["used"], room - about["used"], about["open"]
+            gaps = state.where(~doc).select("seq", gap.alias("gap")).where("gap > 0")
+            widest_gap = about["widest"]
+            if times > 1:  # what is left of parts of a gap is one gap again
+                gaps = staged(gaps.groupBy("seq").agg(F.sum("gap").alias("gap")), "pack-gaps")
+                widest_gap, open_ = gaps.agg(F.coalesce(F.max("gap"), F.lit(0)), F.count(F.when(F.col("gap") >= (about["least"] or 1), 1))).first()
+            documents = state.where(doc).select("unit", "first", "count")
         high = low
     out = done[0]
     for pairs in done[1:]:
@@ -258,10 +266,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = staged(within_rank(pieces, "length", salt, order, "__at", group_rows(sum(counts.values()), spark)), "pack-ranked")
     runs = placed(ranked.select("length", "__at"), counts, capacity)
     turn = runs.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
-    spots = turn.select(
-        F.col("unit").alias("__unit"), (F.col("first") + F.col("turn")).alias("__rank"), F.col("seq").alias("sequence_id"),
-        (F.lit(capacity) - F.col("gap") + F.col("turn") * F.col("unit")).alias("offset"),
-    )
+    spots = turn.select(F.col("unit").alias("__unit"), (F.col("first") + F.col("turn")).alias("__rank"), F.col("seq").alias("sequence_id"))
+    before = Window.partitionBy("sequence_id").orderBy(F.desc("__unit"), "__rank").rowsBetween(Window.unboundedPreceding, -1)  # of capacity rows at most
+    spots = spots.withColumn("offset", F.coalesce(F.sum("__unit").over(before), F.lit(0)))
     return ranked.join(spots, (F.col("length") == F.col("__unit")) & (F.col("__at") == F.col("__rank"))).select(*pieces.columns, "sequence_id", "offset")
 
 
