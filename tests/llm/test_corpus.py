@@ -95,12 +95,34 @@ def test_groups_that_fit_a_shard_stay_whole(spark):
     assert len(sums) == 10 and sums.max() / sums.mean() < 1.05
 
 
-def test_placing_balances_all_resources():
+def test_placing_is_the_highest_dot_product():
     r = np.random.default_rng(3)
     items = r.integers(1, 50, (4000, 3)).astype(float)
-    spots = sharding.place(items, 10)
+    items /= items.sum(axis=0) / 10
+    spots = sharding.place(items, np.ones((10, 3)))
     sums = np.array([items[spots == k].sum(axis=0) for k in range(10)])
-    assert (sums.max(axis=0) / sums.mean(axis=0) < 1.02).all()
+    assert abs(sums - 1).max() < 0.02
+    left = np.ones((10, 3))
+    for i in sorted(range(4000), key=lambda i: (-items[i].max(), i)):  # step by step
+        dots = [sum(a * b for a, b in zip(own, items[i], strict=True)) for own in left]
+        assert dots[spots[i]] >= max(dots) - 1e-12
+        left[spots[i]] -= items[i]
+
+
+def test_sharding_query_balances_bytes_tokens_and_rows(spark):
+    got = sharding.op1_sharding(spark, "/root/testdata/sf0.1").toPandas()
+    sums = got.groupby("shard").agg(b=("size", "sum"), t=("tokens", "sum"), r=("slot", "size"))
+    assert len(sums) == 40 and (abs(sums / sums.mean() - 1).max() < 0.01).all()
+    assert got.groupby(["text_crc32", "size"]).shard.nunique().max() == 1
+
+
+def test_sharding_in_cells_and_of_hot_groups(spark):
+    """A third of all rows are one text, without doc_id; cells place side by side."""
+    r = random.Random(17)
+    data = [(i, words(r, r.randint(1, 30))) for i in range(4000)] + [(None, "one text")] * 2000
+    got = sharding.shard(spark.createDataFrame(data, "doc_id long, text string").repartition(4), 8, cell=500).toPandas()
+    sums = got.groupby("shard").agg(b=("size", "sum"), t=("tokens", "sum"), r=("slot", "size"), top=("slot", "max"))
+    assert len(got) == 6000 and (abs(sums / sums.mean() - 1).max() < 0.1).all() and (sums.r == sums.top + 1).all()
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
