@@ -1,11 +1,14 @@
 """The profile: messages, fields, sub-fields, component lanes and enumerations as dimension tables.
 
 Only the messages that tests and queries use are built in; a full profile comes from the
-user, as tables of the same columns (``Catalogue.from_tables``).
+user: as the two sheets of the public profile workbook, saved as CSV
+(``Catalogue.from_sheets``), or as tables of the same columns (``Catalogue.from_tables``).
 """
 
 from __future__ import annotations
 
+import csv
+import io
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,6 +123,10 @@ wkt_step_target: 0 speed|1 heart_rate|2 open|3 cadence|4 power|5 grade|6 resista
 """
 
 
+def _listed(cell: str) -> list[str]:
+    return [x.strip() for x in cell.split(",") if x.strip()]
+
+
 @dataclass
 class Catalogue:
     """Rows of the five dimension tables."""
@@ -187,6 +194,61 @@ class Catalogue:
         frames = dict(messages=messages, fields=fields, subfields=subfields, lanes=lanes, enums=enums)
         return cls(**{k: [tuple(r) for r in frames[k].select(*[c.split()[0] for c in getattr(cls, cols).split(", ")]).collect()] for k, cols in order})
 
+    @classmethod
+    def from_sheets(cls, types: str, messages: str) -> Catalogue:
+        """A profile from the texts of its two sheets, as CSV with a header line.
+
+        Types: Type Name, Base Type, Value Name, Value. Messages: Message Name, Field Def #,
+        Field Name, Field Type, Array, Components, Scale, Offset, Units, Bits, Accumulate,
+        Ref Field Name, Ref Field Value. Names stand in the first row of what they head.
+        A row with a name but no number is a sub-field of the field above it. Message
+        numbers are the values of the type mesg_num. Columns are found by name; others are
+        not read. Scales and offsets of packed fields are their lanes' affair.
+        """
+        out, base, kind = cls(), {}, ""
+        for row in csv.DictReader(io.StringIO(types)):
+            kind = row["Type Name"] or kind
+            if row["Base Type"]:
+                base[kind] = row["Base Type"]
+            if row["Value Name"] and row["Value"]:
+                out.enums.append((kind, int(row["Value"], 0), row["Value Name"]))
+        values = {(k, name): v for k, v, name in out.enums}
+        out.messages = [(v, name) for k, v, name in out.enums if k == "mesg_num"]
+        numbers = {name: n for n, name in out.messages}
+        rows, mesg, fdn, order, listed = [], None, None, 0, {}
+        for row in csv.DictReader(io.StringIO(messages)):
+            row = {k: (v or "").strip() for k, v in row.items() if k}
+            if row["Message Name"]:
+                mesg = numbers.get(row["Message Name"])
+            if mesg is None or not row["Field Name"]:
+                continue
+            sub = not row["Field Def #"]
+            fdn, order = (fdn, order + 1) if sub else (int(row["Field Def #"], 0), -1)
+            rows.append((mesg, fdn, order, row))
+            if not sub:
+                listed[mesg, row["Field Name"]] = (fdn, row["Field Type"])
+        for mesg, fdn, order, row in rows:
+            lanes = _listed(row["Components"])
+            one = lambda name, default: float(row[name]) if row[name] and not len(lanes) > 1 and "," not in row[name] else default  # noqa: B023, E731
+            scale, offset, units, of = one("Scale", 1.0), one("Offset", 0.0), row["Units"] or None, base.get(row["Field Type"], row["Field Type"])
+            name = row["Field Name"]
+            if order < 0:
+                counter = not lanes and row["Accumulate"] == "1"
+                out.fields.append((mesg, fdn, name, row["Field Type"], scale, offset, units, counter, 8 * (named(of).size if named(of) else 4)))
+            for ref, value in zip(_listed(row["Ref Field Name"]), _listed(row["Ref Field Value"]), strict=False) if order >= 0 else ():
+                at, ref_type = listed.get((mesg, ref), (None, None))
+                number = values.get((ref_type, value))
+                if number is None and value[:1].isdigit():
+                    number = int(value, 0)
+                if at is not None and number is not None:
+                    out.subfields.append((mesg, fdn, order, name, row["Field Type"], scale, offset, units, at, number))
+            shift = 0
+            for k, (lane, bits) in enumerate(zip(lanes, _listed(row["Bits"]), strict=False)):
+                wraps = _listed(row["Accumulate"])
+                out.lanes.append((mesg, fdn, name if order >= 0 else "", k, lane, shift, int(bits), wraps[k : k + 1] == ["1"]))
+                shift += int(bits)
+        return out
+
     def table(self, spark: SparkSession, which: str) -> DataFrame:
         columns = {"messages": self.MESSAGE_COLUMNS, "fields": self.FIELD_COLUMNS, "subfields": self.SUBFIELD_COLUMNS, "lanes": self.LANE_COLUMNS, "enums": self.ENUM_COLUMNS}
         return spark.createDataFrame(getattr(self, which), columns[which])

@@ -60,11 +60,16 @@ def lane(packed: Column, shift: Column | int, bits: Column | int) -> Column:
     return F.call_function("shiftrightunsigned", packed.cast("long"), shift).bitwiseAND(mask)
 
 
+def low_first(content: Column) -> Column:
+    """Up to seven bytes as a whole number, lowest byte first; 0 for none."""
+    pairs = F.reverse(F.regexp_extract_all(F.hex(content), F.lit("[0-9A-F]{2}"), F.lit(0)))
+    return F.coalesce(F.conv(F.array_join(pairs, ""), 16, 10).cast("long"), F.lit(0).cast("long"))
+
+
 def byte_lane(content: Column, shift: Column, bits: Column) -> Column:
     """The same of bytes, lowest byte first; bits past the end are zero."""
     piece = F.substring(content, F.floor(shift / 8).cast("int") + 1, F.lit(7))
-    whole = F.coalesce(F.conv(F.hex(F.reverse(piece)), 16, 10).cast("long"), F.lit(0).cast("long"))
-    return lane(whole, (shift % 8).cast("int"), bits)
+    return lane(low_first(piece), (shift % 8).cast("int"), bits)
 
 
 def text(content: Column) -> Column:

@@ -54,6 +54,17 @@ def as_u64(v: Column) -> Column:
     return F.when(v["tag"].isin("sint", "uint") & (F.coalesce(v["u"], v["i"]) >= 0), F.coalesce(v["u"], v["i"].cast("decimal(20,0)")))
 
 
+def as_unsigned(v: Column, bits: int) -> Column:
+    """The value as a whole number of ``bits`` bits, null where it is none or does not fit."""
+    x = F.coalesce(v["u"], v["i"].cast("decimal(20,0)"))
+    return F.when(v["tag"].isin("sint", "uint") & x.between(0, F.lit(str((1 << bits) - 1)).cast("decimal(20,0)")), x.cast("decimal(20,0)" if bits > 62 else "long"))
+
+
+def as_f64s(v: Column) -> Column:
+    """The value as an array of doubles: a scalar as one of length 1; null for what holds no numbers."""
+    return F.coalesce(v["af"], F.transform(v["ai"], lambda x: x.cast("double")), F.when(as_f64(v).isNotNull(), F.array(as_f64(v))))
+
+
 def as_str(v: Column) -> Column:
     return F.when(v["tag"].isin("string", "enum"), v["s"])
 
@@ -70,28 +81,31 @@ def field(messages: DataFrame, name: str) -> DataFrame:
 def with_profile(fields: DataFrame, catalogue: Catalogue, options: Options) -> DataFrame:
     """Message and field names, types and scales; sub-fields chosen by their siblings."""
     spark = fields.sparkSession
-    std = fields.where("kind = 'field'")
+    std = fields.where("kind in ('field', 'empty')")
     mesgs = F.broadcast(catalogue.table(spark, "messages").withColumnRenamed("mesg_num", "m0"))
     infos = catalogue.table(spark, "fields").toDF("m1", "f1", "p_name", "type", "scale", "offset", "units", "accumulate", "bits")
     out = std.join(mesgs, F.col("mesg_num") == F.col("m0"), "left").join(F.broadcast(infos), (F.col("mesg_num") == F.col("m1")) & (F.col("fdn") == F.col("f1")), "left")
-    out = out.drop("m0", "m1", "f1").withColumn("mesg_name", F.coalesce("mesg_name", F.lit("unknown"))).withColumn("name", F.coalesce("p_name", F.lit("unknown"))).withColumn("sub_pos", F.lit(0))
+    out = out.drop("m0", "m1", "f1").withColumn("mesg_name", F.coalesce("mesg_name", F.lit("unknown"))).withColumn("name", F.when(F.col("kind") == "field", F.coalesce("p_name", F.lit("unknown")))).withColumn("sub_pos", F.lit(0))
     if not options.expand_subfields or not catalogue.subfields:
         return out.withColumn("subfield", F.lit(""))
-    subs = catalogue.table(spark, "subfields").toDF("m2", "f2", "ord", "s_name", "s_type", "s_scale", "s_offset", "s_units", "ref_fdn", "ref_value")
-    may = out.join(F.broadcast(subs.select("m2", "f2").distinct()), (F.col("mesg_num") == F.col("m2")) & (F.col("fdn") == F.col("f2")), "left")
-    plain, multi = may.where("m2 is null").drop("m2", "f2"), may.where("m2 is not null").drop("m2", "f2")
-    refs = std.join(F.broadcast(subs.select(F.col("m2").alias("m3"), F.col("ref_fdn").alias("f3")).distinct()), (F.col("mesg_num") == F.col("m3")) & (F.col("fdn") == F.col("f3")), "left_semi")
-    refs = refs.select(*[F.col(c).alias(f"r_{c}") for c in HEAD], F.col("fdn").alias("r_fdn"), F.col("i").alias("r_i"))
-    options_of = multi.select(*HEAD, "pos", "mesg_num", "fdn").join(F.broadcast(subs), (F.col("mesg_num") == F.col("m2")) & (F.col("fdn") == F.col("f2")))
-    hit = options_of.join(refs, op._all([F.col(c) == F.col(f"r_{c}") for c in HEAD]) & (F.col("ref_fdn") == F.col("r_fdn")) & (F.col("ref_value") == F.col("r_i")))
-    best = hit.groupBy(*[F.col(c).alias(f"b_{c}") for c in [*HEAD, "pos"]]).agg(F.min_by(F.struct("s_name", "s_type", "s_scale", "s_offset", "s_units"), "ord").alias("sub"))
-    chosen = multi.join(best, op._all([F.col(c) == F.col(f"b_{c}") for c in [*HEAD, "pos"]]), "left").drop(*[f"b_{c}" for c in [*HEAD, "pos"]])
+    # The alternatives of a field come with it; what they refer to is looked up among the values of its message.
+    subs = catalogue.table(spark, "subfields")
+    each = F.struct("ord", "ref_fdn", F.col("value").alias("ref_value"), F.col("name").alias("s_name"), F.col("type").alias("s_type"), F.col("scale").alias("s_scale"), F.col("offset").alias("s_offset"), F.col("units").alias("s_units"))
+    of_field = F.broadcast(subs.groupBy(F.col("mesg_num").alias("m2"), F.col("fdn").alias("f2")).agg(F.array_sort(F.collect_list(each)).alias("may")))
+    is_ref = F.broadcast(subs.select(F.col("mesg_num").alias("m3"), F.col("ref_fdn").alias("f3"), F.lit(True).alias("is_ref")).distinct())
+    concerned = sorted({row[0] for row in catalogue.subfields})
+    plain, some = out.where(~F.col("mesg_num").isin(concerned) | (F.col("kind") == "empty")), out.where(F.col("mesg_num").isin(concerned) & (F.col("kind") == "field"))
+    some = some.join(of_field, (F.col("mesg_num") == F.col("m2")) & (F.col("fdn") == F.col("f2")), "left").join(is_ref, (F.col("mesg_num") == F.col("m3")) & (F.col("fdn") == F.col("f3")), "left")
+    values = F.collect_list(F.when(F.col("is_ref") & F.col("i").isNotNull(), F.struct("fdn", "i"))).over(Window.partitionBy(*HEAD))
+    some = some.withColumn("refs", values)
+    met = F.filter("may", lambda a: F.exists("refs", lambda r: (r["fdn"] == a["ref_fdn"]) & (r["i"] == a["ref_value"])))
+    some = some.withColumn("sub", F.try_element_at(met, F.lit(1))).drop("m2", "f2", "m3", "f3", "may", "is_ref", "refs")
     has = F.col("sub").isNotNull()
     own = options.semantics == "corrected"  # a sub-field's own scale, or its parent's
-    for c, s in (("name", "s_name"), ("type", "s_type"), *((("scale", "s_scale"), ("offset", "s_offset"), ("units", "s_units")) if own else ())):
-        chosen = chosen.withColumn(c, F.when(has, F.col(f"sub.{s}")).otherwise(F.col(c)))
-    chosen = chosen.withColumn("subfield", F.coalesce("sub.s_name", F.lit(""))).drop("sub")
-    return plain.withColumn("subfield", F.lit("")).unionByName(chosen)
+    for c, x in (("name", "s_name"), ("type", "s_type"), *((("scale", "s_scale"), ("offset", "s_offset"), ("units", "s_units")) if own else ())):
+        some = some.withColumn(c, F.when(has, F.col(f"sub.{x}")).otherwise(F.col(c)))
+    some = some.withColumn("subfield", F.coalesce("sub.s_name", F.lit(""))).drop("sub")
+    return plain.withColumn("subfield", F.lit("")).unionByName(some)
 
 
 def lanes_of(named: DataFrame, catalogue: Catalogue, options: Options) -> DataFrame:
@@ -223,7 +237,8 @@ def decode(fields: DataFrame, catalogue: Catalogue | None = None, options: Optio
     """Typed messages of a field table, a row for each field, in order (path, chain_idx, seq, pos, sub_pos)."""
     catalogue, options = catalogue or Catalogue.built_in(), options or Options()
     spark = fields.sparkSession
-    # Each of these is read by several branches below.
+    # Each of these is read by several branches below; bytes are split and decoded once.
+    fields = staged(fields, "fields")
     named = staged(with_profile(fields, catalogue, options), "named")
     if options.expand_components:
         named = named.unionByName(lanes_of(named, catalogue, options), allowMissingColumns=True)
@@ -320,6 +335,16 @@ def message_counts(messages: DataFrame) -> DataFrame:
     return messages.select(*HEAD, "mesg_name").distinct().groupBy("mesg_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counters(fields: DataFrame, catalogue: Catalogue | None = None) -> DataFrame:
+    """By path: the message kinds that took definitions, the counters that were undone, and the developer fields declared."""
+    catalogue = catalogue or Catalogue.built_in()
+    marks = F.broadcast(catalogue.table(fields.sparkSession, "fields").where("accumulate").select(F.col("mesg_num").alias("c_mesg"), F.col("fdn").alias("c_fdn"), F.lit(True).alias("counts")))
+    rows = fields.where("kind <> 'error'").join(marks, (F.col("mesg_num") == F.col("c_mesg")) & (F.col("fdn") == F.col("c_fdn")) & (F.col("kind") == "field"), "left")
+    found = rows.groupBy("path").agg(F.count_distinct("mesg_num").alias("kinds"), F.count_distinct(F.when(F.col("counts"), F.struct("mesg_num", "fdn"))).alias("tracked"))
+    declared = registry(fields, Options()).groupBy(F.col("path").alias("c_path")).agg(F.count_distinct("ddi", "fdn").alias("declared"))
+    return found.join(declared, F.col("path") == F.col("c_path"), "left").select("path", "kinds", "tracked", F.coalesce("declared", F.lit(0)).alias("declared"))
+
+
 def wide(messages: DataFrame, mesg_name: str, names: list[str]) -> DataFrame:
     """One message type as a wide table: a value column for each name, the first field of that name."""
     some = messages.where((F.col("mesg_name") == mesg_name) & F.col("name").isin(*names))

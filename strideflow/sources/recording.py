@@ -7,15 +7,20 @@ ended; records without fields have one row of kind ``empty``.
 
 from __future__ import annotations
 
+import glob
+import os
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 from pyspark.sql.types import StructType
 
 from ..errors import RecordingError
+from ..functions import low_first
 from . import wire
 
 FIELDS = (
@@ -26,9 +31,7 @@ NAMES = [c.split()[0] for c in FIELDS.replace("decimal(20,0)", "decimal").split(
 
 
 def rows_of(path: str, chain_idx: int, data: bytes, start: int, wanted: frozenset[int] | None = None, corrected: bool = True) -> Iterator[tuple]:
-    """The rows of one segment."""
-    from decimal import Decimal
-
+    """The rows of one segment, all numbers as Python's."""
     first = True
     seq = -1
     try:
@@ -36,7 +39,7 @@ def rows_of(path: str, chain_idx: int, data: bytes, start: int, wanted: frozense
             head = (path, chain_idx, record.seq, first and chain_idx > 0, record.mesg_num)
             first, seq, pos = False, record.seq, 0
             for fdn, base, (tag, i, f, s, b, ai, af), raw in record.fields:
-                u = Decimal(i) if i is not None and tag == "uint" else None
+                u = i if tag == "uint" else None
                 small = i if i is not None and i < 1 << 63 else None
                 if ai is not None and any(x >= 1 << 63 for x in ai):  # 64-bit unsigned arrays beyond the signed range
                     ai, af = None, [float(x) for x in ai]
@@ -48,7 +51,7 @@ def rows_of(path: str, chain_idx: int, data: bytes, start: int, wanted: frozense
             if not pos:
                 yield (*head, 0, "empty", *[None] * 12)
     except RecordingError as e:
-        yield (path, chain_idx, seq + 1, False, None, 0, "error", None, None, None, e.code, None, None, None, str(e.detail), None, None, None, None)
+        yield _error(path, chain_idx, seq + 1, e.code, str(e.detail))
 
 
 def segments(files: DataFrame) -> DataFrame:
@@ -62,18 +65,17 @@ def segments(files: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for path, data in zip(batch["path"], batch["content"], strict=True):
-                k = 0
+                data, starts, error = bytes(data or b""), [], None
                 try:
-                    for k, start, _ in wire.segments(bytes(data)):  # noqa: B007
-                        out.append((path, k, start, None, None))
+                    starts += (start for _, start, _ in wire.segments(data))
                 except RecordingError as e:
-                    out.append((path, k + bool(out and out[-1][0] == path), -1, e.code, str(e.detail)))
-            rows = pd.DataFrame(out, columns=["path", "chain_idx", "start", "code", "detail"])
-            by_path = dict(zip(batch["path"], batch["content"], strict=True))
-            # Each segment travels alone, to the next segment's start.
-            ends = rows.groupby("path")["start"].shift(-1)
-            rows["segment"] = [None if s < 0 else bytes(by_path[p])[s : int(e) if e == e and e >= 0 else None] for p, s, e in zip(rows["path"], rows["start"], ends, strict=True)]
-            yield rows[["path", "chain_idx", "segment", "code", "detail"]]
+                    error = e
+                # Each segment travels alone, up to the next segment's start.
+                for k, (start, end) in enumerate(zip(starts, [*starts[1:], len(data)], strict=False)):
+                    out.append((path, k, data[start:end], None, None))
+                if error:
+                    out.append((path, len(starts), None, error.code, str(error.detail)))
+            yield pd.DataFrame(out, columns=["path", "chain_idx", "segment", "code", "detail"])
 
     return files.select("path", "content").mapInPandas(split, "path string, chain_idx int, segment binary, code string, detail string")
 
@@ -81,30 +83,41 @@ def segments(files: DataFrame) -> DataFrame:
 def decoded(parts: DataFrame, wanted: frozenset[int] | None = None, corrected: bool = True) -> DataFrame:
     """The field table of ``segments``."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept: list[tuple] = []
-            for r in batch.itertuples(index=False):
-                if r.segment is None:
-                    kept.append((r.path, r.chain_idx, 0, False, None, 0, "error", None, None, None, r.code, None, None, None, r.detail, None, None, None, None))
+            for path, k, segment, code, detail in zip(*[batch.column(c).to_pylist() for c in ("path", "chain_idx", "segment", "code", "detail")], strict=True):
+                if segment is None:
+                    kept.append(_error(path, k, 0, code, detail))
                     continue
-                for row in rows_of(r.path, r.chain_idx, bytes(r.segment), 0, wanted, corrected):
+                for row in rows_of(path, k, segment, 0, wanted, corrected):
                     kept.append(row)
                     if len(kept) >= 20_000:
-                        yield _frame(kept)
+                        yield _batch(kept)
                         kept = []
             if kept:
-                yield _frame(kept)
+                yield _batch(kept)
+
+    return parts.mapInArrow(decode, FIELDS)
+
+
+def _error(path: str, chain_idx: int, seq: int, code: str, detail: str) -> tuple:
+    return (path, chain_idx, seq, False, None, 0, "error", None, None, None, code, None, None, None, detail, None, None, None, None)
+
 
-    return parts.mapInPandas(decode, FIELDS)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _arrow_types(), strict=True)], names=NAMES)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=NAMES)
-    for c in ("chain_idx", "seq", "mesg_num", "pos", "fdn", "ddi"):
-        out[c] = out[c].astype("Int64")
-    out["i"] = pd.array([None if v is None else v for v in (r[NAMES.index("i")] for r in rows)], dtype="Int64")
-    return out
+def _arrow_types() -> list[pa.DataType]:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(), "decimal": pa.decimal128(20, 0), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
+    return [kinds[c.split()[1]] for c in FIELDS.replace("decimal(20,0)", "decimal").split(", ")]
+
+
+def _as_row(row: tuple) -> tuple:
+    """A row as Spark takes it from Python: unsigned numbers as decimals."""
+    u = NAMES.index("u")
+    return row if row[u] is None else (*row[:u], Decimal(row[u]), *row[u + 1 :])
 
 
 def read_fields(spark: SparkSession, path: str, wanted: frozenset[int] | None = None, corrected: bool = True, partitions: int | None = None) -> DataFrame:
@@ -123,7 +136,7 @@ def is_recording(content: Column) -> Column:
 
 def header(content: Column) -> Column:
     """The header's fields as a struct, by byte arithmetic; null where the bytes are none."""
-    number = lambda at, n: F.conv(F.hex(F.reverse(F.substring(content, at, n))), 16, 10).cast("long")
+    number = lambda at, n: low_first(F.substring(content, at, n))
     size = number(1, 1)
     body = F.struct(
         size.alias("header_size"), number(2, 1).alias("protocol_version"), number(3, 2).alias("profile_version"), number(5, 4).alias("data_size"),
@@ -149,9 +162,9 @@ def _integrity(content: pd.Series) -> pd.DataFrame:
 
 
 class RecordingSource(DataSource):
-    """``spark.read.format("recording").load(path)``: the field table, one partition a file.
+    """``spark.read.format("recording").load(path)``: the field table, one partition a segment.
 
-    Options: path (comma-separated files), messages (numbers, comma-separated), semantics
+    Options: path (comma-separated files, folders and patterns), messages (numbers, comma-separated), semantics
     ("corrected" or "reference"), mode ("PERMISSIVE": errors are rows; "FAILFAST": they
     raise). Filters on mesg_num reach the scan where the session allows it. Files are
     opened by the executors; for paths that only Spark can open, use ``read_fields``.
@@ -183,23 +196,51 @@ class RecordingReader(DataSourceReader):
                 self.wanted = only if self.wanted is None else self.wanted & only
             yield f  # Spark filters again: error rows have no number
 
+    def files(self) -> list[str]:
+        out = []
+        for path in (p.removeprefix("file://") for p in self.paths):
+            if os.path.isdir(path):
+                out += sorted(os.path.join(d, name) for d, _, names in os.walk(path) for name in names if not name.startswith(("_", ".")))
+            else:
+                out += sorted(glob.glob(path)) or [path]
+        return out
+
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
+        """One for each segment of each file; headers are hopped, nothing else is read."""
+        return [InputPartition((path, *hop)) for path in self.files() for hop in hops(path)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value.removeprefix("file://"), "rb") as f:
-            data = f.read()
-        k = -1
+        path, k, start, stop = partition.value
+        with open(path, "rb") as f:
+            f.seek(start)
+            data = f.read(None if stop is None else stop - start)
         try:
-            for k, start, _ in wire.segments(data):
-                for row in rows_of(partition.value, k, data, start, self.wanted, self.corrected):
-                    if self.failfast and row[6] == "error":
-                        raise RecordingError(row[10])
-                    yield row
+            wire.parse_header(data)
         except RecordingError as e:
             if self.failfast:
                 raise
-            yield (partition.value, k + 1, 0, False, None, 0, "error", None, None, None, e.code, None, None, None, str(e.detail), None, None, None, None)
+            yield _error(path, k, 0, e.code, str(e.detail))
+            return
+        for row in rows_of(path, k, data, 0, self.wanted, self.corrected):
+            if self.failfast and row[6] == "error":
+                raise RecordingError(row[10])
+            yield _as_row(row)
+
+
+def hops(path: str) -> Iterator[tuple[int, int, int | None]]:
+    """(chain_idx, start, end) of a file's segments; the end is open where the next header is none or there is no more."""
+    size, at, k = os.path.getsize(path), 0, 0
+    with open(path, "rb") as f:
+        while at < size or not k:
+            f.seek(at)
+            try:
+                stop = at + wire.parse_header(f.read(14)).total_size
+            except RecordingError:
+                stop = None
+            yield k, at, stop if stop is not None and stop < size else None
+            if stop is None:
+                return
+            at, k = stop, k + 1
 
 
 class SegmentTable:
@@ -221,9 +262,9 @@ class FieldTable:
         data, k = bytes(content or b""), -1
         try:
             for k, start, _ in wire.segments(data):
-                yield from rows_of(path, k, data, start)
+                yield from map(_as_row, rows_of(path, k, data, start))
         except RecordingError as e:
-            yield (path, k + 1, 0, False, None, 0, "error", None, None, None, e.code, None, None, None, str(e.detail), None, None, None, None)
+            yield _error(path, k + 1, 0, e.code, str(e.detail))
 
 
 def register(spark: SparkSession) -> None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,19 +53,23 @@ def wire_values(messages: DataFrame, catalogue: Catalogue) -> DataFrame:
     real = real.withColumn("base_type", F.coalesce("b_base", inferred))
     enums = catalogue.table(spark, "enums").toDF("e_type", "e_value", "e_name")
     real = real.join(F.broadcast(enums), (F.col("type") == F.col("e_type")) & (v["s"] == F.col("e_name")) & (v["tag"] == "enum"), "left")
+    empty = messages.where("kind = 'empty'").select("path", "chain_idx", "seq", "pos", "mesg_num", "kind", F.lit(0).alias("fdn"), F.lit(None).cast("int").alias("ddi"), F.lit("enum").alias("base_type"), "value", F.lit(1.0).alias("scale"), F.lit(0.0).alias("offset"), F.lit(None).cast("long").alias("code"))
     plain = real.select("path", "chain_idx", "seq", "pos", "mesg_num", "kind", "fdn", "ddi", "base_type", "value", "scale", "offset", F.col("e_value").alias("code"))
-    return _numbers(plain.unionByName(_developer(messages).withColumn("code", F.lit(None).cast("long"))))
+    return _numbers(plain.unionByName(empty).unionByName(_developer(messages, catalogue).withColumn("code", F.lit(None).cast("long"))))
 
 
 #: Base types of enumerations that are wider than a byte (fixed values).
 ENUM_BASES = {"manufacturer": "uint16", "mesg_num": "uint16", "message_index": "uint16", "fit_base_type": "uint8", "activity_type": "enum", "event": "enum", "event_type": "enum", "file": "enum", "sport": "enum", "wkt_step_duration": "enum", "wkt_step_target": "enum"}
 
 
-def _developer(messages: DataFrame) -> DataFrame:
+def _developer(messages: DataFrame, catalogue: Catalogue) -> DataFrame:
+    # A declared base type is a number, or the name that an enumeration of the profile gave it.
+    named_codes = {t.name: t.code for t in TYPES} | {name: value & 31 for kind, value, name in catalogue.enums if kind == "fit_base_type"}
+    code_of = F.create_map(*[x for name, code in sorted(named_codes.items()) for x in (F.lit(name), F.lit(code).cast("long"))])
     one = lambda name, part: F.max(F.when(F.col("name") == name, F.col("value")[part]))
     scale = F.coalesce(one("scale", "f"), one("scale", "i").cast("double"))
     offset = F.coalesce(one("offset", "f"), one("offset", "i").cast("double"))
-    declared = messages.where("mesg_num = 206").groupBy("path", "chain_idx", "seq").agg(one("developer_data_index", "i").alias("r_ddi"), one("field_definition_number", "i").alias("r_fdn"), one("fit_base_type_id", "i").alias("r_code"), scale.alias("scale"), offset.alias("offset"))
+    declared = messages.where("mesg_num = 206").groupBy("path", "chain_idx", "seq").agg(one("developer_data_index", "i").alias("r_ddi"), one("field_definition_number", "i").alias("r_fdn"), F.coalesce(one("fit_base_type_id", "i"), F.element_at(code_of, one("fit_base_type_id", "s"))).alias("r_code"), scale.alias("scale"), offset.alias("offset"))
     last = declared.groupBy(F.col("path").alias("r_path"), "r_ddi", "r_fdn").agg(F.max_by(F.struct("r_code", "scale", "offset"), F.struct("chain_idx", "seq")).alias("r"))
     names = F.create_map(*[x for t in BY_CODE.values() for x in (F.lit(t.code), F.lit(t.name))])
     met = messages.where("kind = 'dev'").join(last, (F.col("path") == F.col("r_path")) & (F.col("ddi") == F.col("r_ddi")) & (F.col("fdn") == F.col("r_fdn")))
@@ -152,31 +156,46 @@ _PARTS = tuple(_PART.values())
 def encoded_segments(wire: DataFrame, protocol: int = PROTOCOL, profile: int = PROFILE) -> DataFrame:
     """path, chain_idx, content, error of each segment. A segment is one task's work, as its slots are sequential."""
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(table: pa.Table) -> pa.Table:
         records: list[tuple[int, list, list]] = []
-        pdf = pdf.sort_values(["seq", "pos"])
+        table = table.sort_by([("seq", "ascending"), ("pos", "ascending")])
         last = None
-        for seq, mesg_num, kind, fdn, ddi, base, tag, *parts in zip(*[pdf[c].tolist() for c in ("seq", "mesg_num", "kind", "fdn", "ddi", "base_type", "tag", *_PARTS)], strict=True):
+        for seq, mesg_num, kind, fdn, ddi, base, tag, big, *parts in zip(*[table.column(c).to_pylist() for c in ("seq", "mesg_num", "kind", "fdn", "ddi", "base_type", "tag", "big", *_PARTS)], strict=True):
             if seq != last:
-                records.append((int(mesg_num), [], []))
+                records.append((mesg_num, [], []))
                 last = seq
-            item = (int(fdn), base, tag, parts[_PARTS.index(_PART[tag])] if tag in _PART else None)
+            item = (fdn, base, tag, (big if tag == "int" and big is not None else parts[_PARTS.index(_PART[tag])]) if tag in _PART else None)
             if kind == "field":
                 records[-1][1].append(item)
             elif kind == "dev":
-                records[-1][2].append((*item, int(ddi)))
+                records[-1][2].append((*item, ddi))
         content, error = None, None
         try:
             content = encode_segment(records, protocol, profile)
         except RecordingError as e:
             error = str(e)
-        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "chain_idx": [pdf["chain_idx"].iloc[0]], "content": [content], "error": [error]})
+        return pa.table({"path": table.column("path")[:1], "chain_idx": table.column("chain_idx")[:1], "content": pa.array([content], pa.binary()), "error": pa.array([error], pa.string())})
 
-    return wire.groupBy("path", "chain_idx").applyInPandas(pack, "path string, chain_idx int, content binary, error string")
+    # Numbers travel as longs; those beyond, of 64 bits without a sign, as decimals.
+    slim = wire.select("path", "chain_idx", "seq", "pos", "mesg_num", "kind", "fdn", "ddi", "base_type", "tag", F.col("i").try_cast("long").alias("i"), F.when(F.col("i") > F.lit((1 << 63) - 1), F.col("i")).alias("big"), "f", "s", "b", "ai", "af")
+    return slim.groupBy("path", "chain_idx").applyInArrow(pack, "path string, chain_idx int, content binary, error string")
 
 
-def encoded(messages: DataFrame, catalogue: Catalogue | None = None, protocol: int = PROTOCOL, profile: int = PROFILE) -> DataFrame:
-    """path and content: each path's segments one after the other."""
-    segments = encoded_segments(wire_values(messages, catalogue or Catalogue.built_in()), protocol, profile)
+def encoded(messages: DataFrame, catalogue: Catalogue | None = None, protocol: int = PROTOCOL, profile: int = PROFILE, mode: str = "PERMISSIVE") -> DataFrame:
+    """path, content, error: each path's segments one after the other.
+
+    A path of which a segment cannot be written has no content, and the first such segment's
+    error; with mode "FAILFAST" it ends the job.
+    """
+    return chained(encoded_segments(wire_values(messages, catalogue or Catalogue.built_in()), protocol, profile), mode)
+
+
+def chained(segments: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """path, content, error of ``encoded_segments``."""
     parts = F.array_sort(F.collect_list(F.struct("chain_idx", "content")))
-    return segments.where("error is null").groupBy("path").agg(F.aggregate(F.transform(parts, lambda x: x["content"]), F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"))
+    whole = F.aggregate(F.transform(parts, lambda x: x["content"]), F.lit(b""), lambda a, x: F.concat(a, x))
+    out = segments.groupBy("path").agg(whole.alias("content"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("chain_idx"))).alias("error"))
+    content = F.when(F.col("error").isNull(), F.col("content"))
+    if mode.upper() == "FAILFAST":
+        content = content.when(F.col("error").isNotNull(), F.raise_error(F.concat("path", F.lit(": "), "error")).cast("binary"))
+    return out.select("path", content.alias("content"), "error")

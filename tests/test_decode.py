@@ -165,3 +165,123 @@ def test_built_in_catalogue_is_whole_within_itself():
     # Each lane has a field to take its scale from, and each lane of a sub-field that sub-field.
     subs = {(m, fdn, name) for m, fdn, _, name, *_ in c.subfields}
     assert all((m, lane) in fields and (not sub or (m, fdn, sub) in subs) for m, fdn, sub, _, lane, *_ in c.lanes)
+
+
+def test_failing_segments_are_reported(spark):
+    """A chain of which one segment cannot be written has no content but an error; nothing is left out silently."""
+    long = "x" * 300
+    rows = [("a", 0, "short"), ("a", 1, long), ("b", 0, long), ("c", 0, "fine")]
+    base = spark.createDataFrame(rows, "path string, chain_idx int, s string")
+    messages = base.select("path", "chain_idx", F.lit(0).cast("long").alias("seq"), F.lit(0).alias("mesg_num"), F.lit("field").alias("kind"), F.lit(None).cast("int").alias("ddi"), F.lit(0).alias("pos"), F.lit(0).alias("sub_pos"), F.lit(8).alias("fdn"), F.lit("product_name").alias("name"), plans.value(F.lit("string"), s=F.col("s")).alias("value"))
+    got = {r.path: r for r in sink.encoded(messages).collect()}
+    assert got["a"].content is None and got["b"].content is None and "FieldTooLarge" in got["a"].error and "FieldTooLarge" in got["b"].error
+    assert got["c"].content is not None and got["c"].error is None
+    with pytest.raises(Exception, match="FieldTooLarge"):
+        sink.encoded(messages, mode="FAILFAST").collect()
+
+
+def test_developer_fields_survive_a_profile_that_names_base_types(spark, activity):
+    c = Catalogue.built_in()
+    c.enums.append(("fit_base_type", 0x84, "uint16"))
+    m = plans.decode(activity, catalogue=c)
+    assert values(m.where("mesg_num = 206"), "fit_base_type_id") == ["uint16"]
+    again = plans.decode(recording.decoded(recording.segments(sink.encoded(m, c))), catalogue=c)
+    assert values(m, "power2") == values(again, "power2") == [6.5]
+
+
+def test_segments_of_one_path_given_twice(spark):
+    one, two = sink.encode_segment([(20, RECORD, [])]), sink.encode_segment([(20, RECORD, []), (0, [(0, "enum", "int", 4)], [])])
+    parts = recording.segments(spark.createDataFrame([("p", one + two), ("p", two), ("q", b"")], "path string, content binary").coalesce(1)).collect()
+    assert [(r.path, r.chain_idx, None if r.segment is None else bytes(r.segment), r.code) for r in parts] == [("p", 0, one, None), ("p", 1, two, None), ("p", 0, two, None), ("q", 0, None, "TooShort")]
+
+
+def test_messages_without_fields_are_messages(spark):
+    f = fields_of(spark, [(20, RECORD, []), (21, [], []), (60000, [], [])])
+    m = plans.decode(f)
+    counts = {r.mesg_name: r.n for r in plans.message_counts(m).collect()}
+    assert counts == {"record": 1, "event": 1, "unknown": 1}
+    again = recording.decoded(recording.segments(sink.encoded(m)))
+    assert again.select("seq", "mesg_num").distinct().count() == 3
+
+
+def test_decode_reads_the_bytes_once(spark, tmp_path):
+    (tmp_path / "a.rec").write_bytes(sink.encode_segment([(20, RECORD, [])]))
+    passes = []
+    fields = recording.read_fields(spark, str(tmp_path))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    real = plans.staged
+    plans.staged = lambda df, name="stage": (passes.append(sum(plan(df).count(f"MapIn{x}") for x in ("Pandas", "Arrow"))), real(df, name))[1]
+    try:
+        out = plans.decode(fields, options=plans.Options(decode_memo_glob=True, merge_heart_rates=True))
+    finally:
+        plans.staged = real
+    assert passes[0] == 2 and not any(passes[1:]) and "MapIn" not in plan(out)  # split and decode, once
+
+
+def test_bytes_to_numbers(spark):
+    for raw in (b"\xca\x03\x00\x00", b"\xff\xfe\x80", b"\x01"):
+        assert spark.range(1).select(fn.low_first(F.lit(raw)).alias("n")).first().n == int.from_bytes(raw, "little")
+
+
+def test_narrow_casts(spark):
+    v = lambda **k: plans.value(F.lit(k.pop("tag")), **{a: F.lit(b) for a, b in k.items()})
+    row = spark.range(1).select(
+        plans.as_unsigned(v(tag="uint", i=255, u=255), 8).alias("a"), plans.as_unsigned(v(tag="uint", i=256, u=256), 8).alias("b"), plans.as_unsigned(v(tag="sint", i=-1), 32).alias("c"),
+        plans.as_unsigned(v(tag="string", s="7"), 16).alias("d"), plans.as_f64s(v(tag="uint", i=3, u=3)).alias("e"), plans.as_f64s(v(tag="string", s="x")).alias("f"),
+    ).first()
+    assert (row.a, row.b, row.c, row.d, row.e, row.f) == (255, None, None, None, [3.0], None)
+
+
+def test_counters(spark, activity):
+    row = plans.counters(activity).first()
+    assert (row.kinds, row.tracked, row.declared) == (5, 1, 1)
+
+
+TYPES_SHEET = """Type Name,Base Type,Value Name,Value,Comment
+file,enum,,,
+,,device,1,
+,,activity,4,
+mesg_num,uint16,,,
+,,file_id,0,
+,,gadget,300,
+colour,enum,,,
+,,red,0,
+,,blue,0x1,
+"""
+MESSAGES_SHEET = """Message Name,Field Def #,Field Name,Field Type,Array,Components,Scale,Offset,Units,Bits,Accumulate,Ref Field Name,Ref Field Value,Comment
+SOME MESSAGES,,,,,,,,,,,,,
+file_id,,,,,,,,,,,,,
+,0,type,file,,,,,,,,,,
+gadget,,,,,,,,,,,,,
+,0,shade,colour,,,,,,,,,,
+,1,level,uint16,,,10,5,m,,,,,
+,,warmth,uint16,,,100,,C,,,shade,red,
+,,cold,sint16,,,,,,,,"shade,shade","blue,blue",
+,2,packed,byte,[3],"low,high",,,,"12,12","0,1",,,
+,3,turns,uint8,,,,,,,1,,,
+"""
+
+
+def test_profile_from_its_sheets(spark):
+    c = Catalogue.from_sheets(TYPES_SHEET, MESSAGES_SHEET)
+    assert c.messages == [(0, "file_id"), (300, "gadget")] and c.enum_value("colour", "blue") == 1
+    assert [f[:5] for f in c.fields] == [(0, 0, "type", "file", 1.0), (300, 0, "shade", "colour", 1.0), (300, 1, "level", "uint16", 10.0), (300, 2, "packed", "byte", 1.0), (300, 3, "turns", "uint8", 1.0)]
+    assert [f[7] for f in c.fields] == [False, False, False, False, True]
+    assert {(s[3], s[8], s[9]) for s in c.subfields} == {("warmth", 0, 0), ("cold", 0, 1)}
+    assert c.lanes == [(300, 2, "", 0, "low", 0, 12, False), (300, 2, "", 1, "high", 12, 12, True)]
+    m = plans.decode(fields_of(spark, [(300, [(0, "enum", "int", 0), (1, "uint16", "int", 250), (2, "byte", "bytes", bytes((0xBC, 0x3A, 0x12)))], []), (300, [(0, "enum", "int", 7), (1, "uint16", "int", 250)], [])]), catalogue=c)
+    assert values(m, "shade") == ["red", 7] and values(m, "warmth") == [2.5] and values(m, "level") == [20.0] and values(m, "low") == [0xABC] and values(m, "high") == [0x123]
+
+
+def test_source_reads_folders_patterns_and_segments(spark, tmp_path):
+    data = sink.encode_segment([(20, RECORD, []), (0, [(0, "enum", "int", 4)], [])])
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.rec").write_bytes(data * 3)
+    (tmp_path / "b.rec").write_bytes(data + b"junk")
+    recording.register(spark)
+    got = spark.read.format("recording").load(str(tmp_path))
+    key = lambda df: sorted(map(str, df.drop("path").collect()))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path", "content")
+    assert key(got) == key(recording.decoded(recording.segments(files)))
+    assert got.rdd.getNumPartitions() == 5
+    assert spark.read.format("recording").load(str(tmp_path / "*" / "*.rec")).select("chain_idx").distinct().count() == 3
