@@ -729,3 +729,144 @@ def test_long_texts_of_a_block_meet_in_smaller_sets(spark, monkeypatch):
     want = {x.doc_id: x.class_id for x in near_duplicates.classes(docs).collect()}
     monkeypatch.setattr(near_duplicates, "BLOCK_CHARS", 3000)
     assert {x.doc_id: x.class_id for x in near_duplicates.classes(docs).collect()} == want
+
+
+def plain_vector(encoder, text):
+    """The bundle of a text's bound trigrams, one after the other."""
+    s, out = [0], np.zeros(encoder.dimensions)
+    for c in text:
+        k = int(encoder.classes[ord(c)])
+        if k or s[-1]:
+            s.append(k)
+    if s[-1]:
+        s.append(0)
+    if len(s) < 3:
+        return out
+    for a, b, c in zip(s, s[1:], s[2:], strict=False):
+        out += encoder.first[a].astype(int) * encoder.second[b] * encoder.third[c]
+    return out
+
+
+def plain_language(model, text):
+    """(language, cosine) of a text, or None where it has no letter."""
+    langs, prototypes = model
+    if not any(c.isalpha() for c in text or ""):
+        return None
+    v = plain_vector(languages.Encoder(), text)
+    cosine = prototypes @ v / np.sqrt(v @ v)
+    return langs[int(cosine.argmax())], float(cosine.max())
+
+
+def test_language_matches_brute_force(spark):
+    r = random.Random(40)
+    data = [(i, words(r, r.randint(1, 60)) + r.choice(["", " éàü", " 12, 34", "Ω"]), ["xx", "yy", None][i % 3]) for i in range(90)] + [(90, "", "xx"), (91, "1 2", "yy"), (92, None, "xx")]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = languages.learn(frame)
+    sums = {}
+    for _, text, lang in data:
+        if lang and text is not None:
+            v = plain_vector(languages.Encoder(), text)
+            sums[lang] = sums.get(lang, 0) + v / max(np.sqrt(v @ v), 1e-12)
+    assert model[0] == sorted(sums) and np.allclose(model[1], [sums[k] / np.sqrt(sums[k] @ sums[k]) for k in model[0]], atol=1e-5)
+    for row in languages.predict(frame, model, keep=["doc_id"]).collect():
+        want = plain_language(model, data[row.doc_id][1])
+        if want is None:
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+        else:
+            assert abs(row.score - max(0.0, want[1])) < 1e-5 and row.lang_pred == want[0]
+
+
+def plain_sketch(text):
+    """The smallest mixed hashes of a text's windows, window by window."""
+    mask, out = (1 << 64) - 1, set()
+    width = min(fingerprints.WINDOW, len(text))
+    for i in range(len(text) - width + 1 if width else 0):
+        h = 0
+        for base, p in zip(fingerprints.BASES, fingerprints.MODULI, strict=True):
+            h = (h << 31 & mask) ^ sum((ord(c) + 1) * pow(base, j, p) for j, c in enumerate(text[i : i + width])) % p
+        for shift, factor in ((31, 0x9E3779B97F4A7C15), (29, 0xBF58476D1CE4E5B9), (32, 1)):
+            h = ((h ^ (h >> shift)) * factor) & mask
+        out.add(h >> (64 - fingerprints.BITS))
+    return sorted(out)[: fingerprints.SKETCH]
+
+
+def test_fingerprints_match_brute_force(spark):
+    r = random.Random(42)
+    texts = [words(r, r.randint(0, 25)) for _ in range(30)] + ["", "ab", "aaaa" * 20, "ab", "é" * 30]
+    got = {x.doc_id: x for x in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+    def like(a, b):
+        both = sorted({*a, *b})[: fingerprints.SKETCH]
+        return sum(x in a and x in b for x in both) / len(both) if both else 1.0
+
+    for i, text in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + following[:cut]
+        own = plain_sketch(text)
+        assert got[i].fingerprint.split("-")[2] == "".join(f"{v:010x}" for v in own)
+        assert abs(got[i].near_edited - like(own, plain_sketch(edited))) < 1e-12 and abs(got[i].near_next - like(own, plain_sketch(following))) < 1e-12
+        common = next((k for k, (a, b) in enumerate(zip(text, edited, strict=False)) if a != b), min(len(text), len(edited)))
+        assert got[i].common_prefix == common
+
+
+def test_pipeline_stages_match_plain_versions(spark, tmp_path):
+    """Each stage on what the stage before it kept, against a restatement that goes row by row or pair by pair."""
+    import corpus_pipeline as p
+    import duckdb
+    from tokenizers import Tokenizer
+
+    from strideflow.llm.common import staged
+
+    r = random.Random(41)
+    texts = [words(r, r.randint(20, 60)) for _ in range(40)]
+    texts += [t if i % 2 else " ".join([*t.split()[:-1], "other"]) for i, t in enumerate(texts[:20])]
+    texts += ["###", "", None, "дом и сад " * 8, "see ghp_a8Kd92kLmQ0zX7vB31nRtYw56pLs ok " + words(r, 30), "password: Abcdef123456789 " + words(r, 30)]
+    data = [(i, t, ["en", "de", None][i % 3], ["s1", "s2", None][i % 4 % 3], len(t or "")) for i, t in enumerate(texts)]
+    now = staged(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long"), "plain")
+
+    out = staged(p.language(spark, now, ""), "plain")
+    model = languages.learn(now.where(~languages.held_out()))
+    judged = {x.doc_id: plain_language(model, x.text) for x in now.collect()}
+    assert {x.doc_id for x in out.collect()} == {i for i, found in judged.items() if found and found[1] >= p.LEAST_LIKENESS}
+    now = out
+
+    out = staged(p.near_duplicate(spark, now, ""), "plain")
+    held = now.orderBy("doc_id").collect()
+    own = [x.text or "" for x in held]
+    chunks = near_duplicates.in_chunks(now.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5("text")))
+    buckets = {x.doc_id: set(x.buckets) for x in near_duplicates.signed(chunks, len(own)).collect()}
+    sets, root = exact_sets(own), list(range(len(own)))
+    for a in range(len(own)):
+        for b in range(a):
+            if own[a] == own[b] or (buckets[held[a].doc_id] & buckets[held[b].doc_id] and near_duplicates.weighted_jaccard(sets[a], sets[b]) >= 0.8):
+                root = [root[b] if x == root[a] else x for x in root]
+    assert {x.doc_id for x in out.collect()} == {held[i].doc_id for i in range(len(own)) if root.index(root[i]) == i}
+    now = out
+
+    out = staged(p.secret_scan(spark, now, ""), "plain")
+    net, table = secrets.default_net(), secrets.char_classes()
+    for before, after in zip(now.orderBy("doc_id").collect(), out.orderBy("doc_id").collect(), strict=True):
+        spans = secrets.base_spans(before.text)
+        spans += [("net", s, e) for s, e in secrets.candidates(before.text, spans) if net.probability(before.text, [(s, e)], table)[0] >= net.threshold]
+        covered = {k for _, s, e in spans for k in range(s, e)}
+        want = "".join("[SECRET]" if k in covered and k - 1 not in covered else "" if k in covered else c for k, c in enumerate(before.text))
+        assert after.text == want and after.n_chars == (len(want) if spans else before.n_chars) and (after.doc_id, after.source) == (before.doc_id, before.source)
+    assert sum("[SECRET]" in x.text for x in out.collect()) == 2
+    now = out
+
+    now.write.parquet(f"{tmp_path}/documents.parquet")
+    out = staged(p.mixture(spark, now, ""), "plain")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {int(x.doc_id): x.taken // x.size for x in db.sql(mixing.OP8_SQL.replace("SELECT doc_id, size,", "SELECT doc_id, size AS size,", 1)).df().rename(columns={"size": "size"}).itertuples() if x.size}
+    assert Counter(x.doc_id for x in out.collect()) == Counter({i: n for i, n in want.items() if n})
+    now = out
+
+    out = p.pack(spark, now, "").toPandas()
+    full = Tokenizer.from_file(packing.tokenizer_files()[0])
+    assert Counter(out.groupby("doc_id").length.sum().to_dict()) == Counter({i: n * (len(full.encode(x, add_special_tokens=False).ids) + 1) for (i, x), n in Counter((x.doc_id, x.text) for x in now.collect()).items()})
+    for _, own in out.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= 2048
+    assert out.sequence_id.nunique() == max(1, -(-int(out.length.sum()) // 2048))
