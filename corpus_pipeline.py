@@ -25,7 +25,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language stay: those without letters, or like no language, go.
 
     Prototypes are learnt from the rows with a lang, as the query of this operator does.
-    Without any such row nothing can be judged and all rows stay.
+    Without any such row nothing can be judged and all rows stay. A null or empty text has
+    no letters. Repeated rows are judged alike, ties go to the language that sorts first,
+    and an empty table stays empty.
     """
     model = languages.learn(docs.select("doc_id", "text", "lang").where(~languages.held_out()))
     if not model[0]:
@@ -37,7 +39,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: the one with the smallest doc_id."""
+    """One document of each class of near-duplicates stays: the one with the smallest doc_id.
+
+    Null texts count as empty ones, and equal texts are one class, empty ones too. Null ids
+    come after all others; of repeated rows of the document that stays, one stays. An empty
+    table stays empty.
+    """
     found = near_duplicates.classes(docs.select("doc_id", "text"))
     kept = staged(found.where("keep").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "pipeline-kept")
     rows, names, at = _numbered(docs)
@@ -50,7 +57,11 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; n_chars follows, where there is such a column."""
+    """Secrets are masked in the texts; n_chars follows, where there is such a column.
+
+    Every row stays. Null texts stay null, and repeated rows are masked alike. An empty
+    table stays empty.
+    """
     rows, names, at = _numbered(docs)
     others = [n for n in names if n != at["text"]]
     out = secrets.scan(rows.withColumn("text", F.col(at["text"])), secrets.default_net(), keep=others, also=at["text"])
@@ -61,7 +72,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, from never to twice."""
+    """Each document as often as the mix takes it, from never to twice.
+
+    A null source is a source, named last. Texts without words, null ones too, share the
+    fate of the block they lie in. Repeated rows each have a place of their own. An empty
+    table stays empty.
+    """
     rows, names, at = _numbered(docs)
     given = rows.select(*[F.col(n) for n in names], F.col(at["doc_id"]).alias("doc_id"), F.col(at["source"]).alias("source"), F.col(at["text"]).alias("text"))
     sized = mixing.sized(given)
@@ -72,7 +88,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the training corpus: one row for each piece, with its place."""
+    """Token sequences of the training corpus: one row for each piece, with its place.
+
+    A null text is an empty one, a piece of the end id alone. Repeated rows are packed each,
+    ties between equal lengths are broken by a hash, and an empty table gives no pieces.
+    """
     return packing.pack(staged(packing.tokenised(docs.select("doc_id", "text")), "pipeline-pieces"))
 
 
@@ -83,7 +103,7 @@ STAGES = [
     ("mixing", mixture),
     ("packing", pack),
 ]
-#: Cosines, networks and tokenizers are not SQL; tests hold every stage against a plain version.
+#: Cosines, networks and tokenizers are not SQL; test_pipeline_stages_match_plain_versions holds every stage against a plain version.
 ORACLE_SQL = None
 
 
