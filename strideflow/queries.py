@@ -60,7 +60,7 @@ def on_wire(pos: int, mesg_num: int, fdn: int, base: str, tag: str = "int", kind
 def written(rows: DataFrame) -> DataFrame:
     """The field table of recordings that hold ``rows`` (path, chain_idx, seq, fields: an array of ``on_wire``), written and read again."""
     wire = rows.select(F.col("path").cast("string").alias("path"), F.col("chain_idx"), F.col("seq").cast("long").alias("seq"), F.explode("fields").alias("w")).select("path", "chain_idx", "seq", "w.*")
-    return recording.decoded(recording.segments(sink.chained(sink.encoded_segments(wire), "FAILFAST")))
+    return recording.decoded(recording.dealt(recording.segments(sink.chained(sink.encoded_segments(wire), "FAILFAST"))))
 
 
 #: Where the messages of these recordings carry the event's number: a field that no profile knows.
@@ -171,7 +171,7 @@ def enum_reverse(spark, d):
     fields = F.array(field(0, 5, "sport", plans.value(F.lit("enum"), s=sport)), field(1, ID, "unknown", plans.value(F.lit("uint"), i=F.col("event_id"), u=F.col("event_id"))))
     rows = e.select(F.col("user_id").cast("string").alias("path"), F.lit(0).alias("chain_idx"), F.col("event_id").alias("seq"), F.explode(fields).alias("x"))
     rows = rows.select("path", "chain_idx", "seq", F.lit(18).alias("mesg_num"), F.lit("field").alias("kind"), F.lit(None).cast("int").alias("ddi"), F.lit(0).alias("sub_pos"), "x.*")
-    back = recording.decoded(recording.segments(sink.encoded(rows)))
+    back = recording.decoded(recording.dealt(recording.segments(sink.encoded(rows))))
     found = plans.wide(plans.decode(back, options=plans.Options(convert_types_to_strings=False)), "session", ["sport", "unknown"])
     return found.select(F.col("unknown.i").alias("event_id"), F.col("sport.i").alias("code"))
 
@@ -328,7 +328,7 @@ def compressed_scan(spark, d):
     body = e.groupBy(F.col("user_id").cast("string").alias("path")).agg(F.concat(F.lit("40000014000" + "2FD0486" + f"{ID:02X}0486"), F.array_join(F.transform(parts, lambda p: p["row"]), "")).alias("body"))
     size = (F.length("body") / 2).cast("long")
     content = F.unhex(F.concat(F.lit("0C20D052"), little(size, 4), F.lit("2E464954"), "body", F.lit("0000")))
-    f = recording.decoded(recording.segments(body.select("path", content.alias("content"))))
+    f = recording.decoded(recording.dealt(recording.segments(body.select("path", content.alias("content")))))
     return _by_event(f, F.max(F.when(F.col("fdn") == 253, F.col("i"))).alias("stamp"))
 
 
@@ -389,7 +389,7 @@ def recordings(spark, d) -> DataFrame:
 FROM (SELECT *, event_id % 255 AS v, lag(event_id % 255) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM {E} WHERE secs BETWEEN 0 AND 4294967295)""")
 def roundtrip_records(spark, d):
     """Events written to binary recordings, read back, decoded: the flagship."""
-    fields = plans.staged(recording.decoded(recording.segments(recordings(spark, d))), "roundtrip")
+    fields = plans.staged(recording.decoded(recording.dealt(recording.segments(recordings(spark, d)))), "roundtrip")
     messages = plans.decode(fields, options=plans.Options(expand_components=False))
     rec = plans.wide(messages, "record", ["timestamp", "distance", "cycles", "accumulated_power"])
     secs = F.unix_seconds(F.col("timestamp.t")) - fn.EPOCH

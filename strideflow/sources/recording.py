@@ -80,6 +80,12 @@ def segments(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(split, "path string, chain_idx int, segment binary, code string, detail string")
 
 
+def dealt(parts: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Segments dealt out evenly: decoding costs far more than its bytes suggest, so few bytes should not meet in few tasks."""
+    n = partitions or int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(n, "path", "chain_idx")
+
+
 def decoded(parts: DataFrame, wanted: frozenset[int] | None = None, corrected: bool = True) -> DataFrame:
     """The field table of ``segments``."""
 
@@ -123,9 +129,7 @@ def _as_row(row: tuple) -> tuple:
 def read_fields(spark: SparkSession, path: str, wanted: frozenset[int] | None = None, corrected: bool = True, partitions: int | None = None) -> DataFrame:
     """The field table of all files under ``path``: segments are dealt out, then decoded."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    parts = segments(files)
-    parts = parts.repartition(partitions, "path", "chain_idx") if partitions else parts
-    return decoded(parts, wanted, corrected)
+    return decoded(dealt(segments(files), partitions), wanted, corrected)
 
 
 def is_recording(content: Column) -> Column:

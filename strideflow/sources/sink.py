@@ -77,8 +77,9 @@ def _developer(messages: DataFrame, catalogue: Catalogue) -> DataFrame:
 
 
 def _numbers(rows: DataFrame) -> DataFrame:
-    bound = lambda which: F.element_at(F.create_map(*[x for t in TYPES for x in (F.lit(t.name), F.lit(str(getattr(t, which))).cast("decimal(20,0)"))]), F.col("base_type"))
-    low, high = bound("low"), bound("high")
+    limits = rows.sparkSession.createDataFrame([(t.name, str(t.low), str(t.high)) for t in TYPES], "l_base string, l_low string, l_high string")
+    limits = limits.select("l_base", *[F.col(c).cast("decimal(20,0)").alias(c) for c in ("l_low", "l_high")])
+    rows, low, high = rows.join(F.broadcast(limits), F.col("base_type") == F.col("l_base"), "left"), F.col("l_low"), F.col("l_high")
     v, scale, offset = F.col("value"), F.coalesce("scale", F.lit(1.0)), F.coalesce("offset", F.lit(0.0))
     floats = F.col("base_type").isin("float32", "float64")
     whole = lambda x: fn.unscaled(x, scale, offset, low.cast("double"), high.cast("double")).cast("decimal(20,0)")
@@ -178,6 +179,8 @@ def encoded_segments(wire: DataFrame, protocol: int = PROTOCOL, profile: int = P
 
     # Numbers travel as longs; those beyond, of 64 bits without a sign, as decimals.
     slim = wire.select("path", "chain_idx", "seq", "pos", "mesg_num", "kind", "fdn", "ddi", "base_type", "tag", F.col("i").try_cast("long").alias("i"), F.when(F.col("i") > F.lit((1 << 63) - 1), F.col("i")).alias("big"), "f", "s", "b", "ai", "af")
+    # As many tasks as the session asks for, however few the bytes: packing is what costs.
+    slim = slim.repartition(int(wire.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "chain_idx")
     return slim.groupBy("path", "chain_idx").applyInArrow(pack, "path string, chain_idx int, content binary, error string")
 
 
