@@ -18,6 +18,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 4096) -> None:
+    """Texts reach Python in batches of fewer rows than Spark's default, unless the session has set a number itself: a worker holds a batch several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(rows))
+
+
 def group_rows(total: int, spark: SparkSession, most: int = 50_000) -> int:
     """Rows that one window group should hold: an eighth of an even partition, within bounds."""
     return max(64, min(most, total // (8 * partitions(spark)) + 1))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, staged, unit_hash
+from .common import read_table, small_batches, staged, unit_hash
 
 DIMENSIONS = 1024
 SYMBOLS = 64
@@ -150,6 +150,7 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray], keep: lis
     Ties go to the language that sorts first. Repeated rows get equal answers.
     """
     langs, prototypes = model
+    small_batches(documents.sparkSession)
     slim = documents.select(*keep, F.col("text").alias("__text"))
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

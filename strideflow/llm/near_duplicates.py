@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, read_table, staged, text_or_empty
+from .common import partitions, read_table, small_batches, staged, text_or_empty
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -120,6 +120,7 @@ def chunked(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 def in_chunks(texts: DataFrame, rows: int = ROWS_A_CHUNK) -> DataFrame:
     """``texts`` written once, with ``chunk``: a number that up to ``rows`` successive rows share."""
+    small_batches(texts.sparkSession)
     at = F.monotonically_increasing_id()
     part, row = F.shiftright(at, 33), F.pmod(at, F.lit(1 << 33))
     return staged(texts.withColumn("chunk", part * F.lit(1 << 32) + F.floor(row / F.lit(rows)).cast("long")), "dup-chunks")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import group_rows, partitions, read_table, staged, unit_hash, within_rank
+from .common import group_rows, partitions, read_table, small_batches, staged, unit_hash, within_rank
 
 CAPACITY = 2048
 END_ID = 0
@@ -71,6 +71,7 @@ def tokenised(documents: DataFrame, capacity: int = CAPACITY, end_id: int = END_
     the capacity is cut into pieces of exactly the capacity; only its first may be shorter.
     Repeated rows are cut each; an empty table gives an empty result. Other columns are not read.
     """
+    small_batches(documents.sparkSession)
     files = files or tokenizer_files()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, small_batches
 
 KINDS = ("assign", "access", "hex", "net")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -286,6 +286,7 @@ def scan(documents: DataFrame, net: CharNet, keep: list[str], also: str | None =
     return the text in, its secrets masked (null stays null). Repeated rows get equal
     answers; an empty table gives an empty result.
     """
+    small_batches(documents.sparkSession)
     slim = documents.select(*keep, F.col("text").alias("__text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

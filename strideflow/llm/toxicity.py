@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, staged, unit_hash
+from .common import read_table, small_batches, staged, unit_hash
 
 #: Labelled rows that the model is fitted on, at most (in expectation). All else is bounded by what these rows hold.
 FIT_ROWS = 20_000
@@ -282,6 +282,7 @@ def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     Null and empty texts have no hits, and the score of a text without hits. Repeated rows
     get equal answers; an empty table gives an empty result.
     """
+    small_batches(documents.sparkSession)
     slim = documents.select(*keep, F.col("text").alias("__text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
