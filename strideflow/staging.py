@@ -38,4 +38,13 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strideflow/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``staged`` returned, once everything that is made of it has been written."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
