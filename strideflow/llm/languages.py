@@ -18,28 +18,45 @@ from pyspark.sql import functions as F
 from .common import read_table, small_batches, staged, unit_hash
 
 DIMENSIONS = 1024
-SYMBOLS = 64
 SEED = 20
 #: Rows of each language that prototypes are made from, at most (in expectation).
 FIT_ROWS = 2000
 UNKNOWN = "und"
 #: Texts that one matrix product takes, and letters they have at most together (one text may have more).
 CHUNK_ROWS, CHUNK_CHARS = 256, 1 << 20
+#: Trigrams that are bound at a time.
+BOUND = 4096
 
 
 def letter_classes() -> np.ndarray:
-    """A symbol for each code point: 0 for what is no letter, 1 to 26 for a to z, the other letters by a hash."""
-    table = np.zeros(0x110000, dtype=np.uint8)
+    """A symbol for each code point: 0 for what is no letter, 1 to 26 for a to z, other letters' own code point in lower case."""
+    table = np.zeros(0x110000, dtype=np.int32)
     points = np.array([i for i in range(0x110000) if chr(i).isalpha()], dtype=np.int64)
     lower = np.array([ord(low) if len(low := chr(p).lower()) == 1 else p for p in points], dtype=np.int64)
-    table[points] = 27 + (lower * 40503 >> 3) % (SYMBOLS - 27)
-    latin = (lower >= 97) & (lower <= 122)
-    table[points[latin]] = lower[latin] - 96
+    table[points] = np.where((lower >= 97) & (lower <= 122), lower - 96, lower)
     return table
 
 
-def letter_vectors(dimensions: int = DIMENSIONS) -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), size=(SYMBOLS, dimensions))
+def letter_vectors(symbols: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """A row of plus and minus ones for each symbol, drawn by mixing its number (splitmix64), so that no table holds all letters."""
+    words = -(-dimensions // 64)
+    x = (np.asarray(symbols, dtype=np.uint64)[:, None] << np.uint64(32)) + np.arange(words, dtype=np.uint64) + np.uint64(SEED << 56)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    bits = np.unpackbits(np.ascontiguousarray(x.astype("<u8")).view(np.uint8), axis=1)[:, :dimensions]
+    return bits.astype(np.int8) * 2 - 1
+
+
+class Letters:
+    """Letters' vectors, permuted by a place, for one symbol or an array of them."""
+
+    def __init__(self, place: int, dimensions: int):
+        self.place, self.dimensions = place, dimensions
+
+    def __getitem__(self, symbols):
+        found, at = np.unique(np.atleast_1d(symbols), return_inverse=True)
+        rows = np.roll(letter_vectors(found, self.dimensions), self.place, axis=1)[at]
+        return rows if np.ndim(symbols) else rows[0]
 
 
 class Encoder:
@@ -47,40 +64,38 @@ class Encoder:
 
     def __init__(self, dimensions: int = DIMENSIONS):
         self.classes = letter_classes()
-        base = letter_vectors(dimensions)
-        self.first, self.second, self.third = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
+        self.first, self.second, self.third = (Letters(place, dimensions) for place in (2, 1, 0))
         self.dimensions = dimensions
 
     def grams(self, text: str) -> np.ndarray:
-        """Numbers of the trigrams of a text; a run of other characters is one boundary."""
+        """Numbers of the trigrams of a text, 21 bits a letter; a run of other characters is one boundary."""
         s = self.classes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
         if not s.any():
-            return np.zeros(0, dtype=np.int32)
-        s = np.concatenate([[0], s, [0]]).astype(np.int32)
+            return np.zeros(0, dtype=np.int64)
+        s = np.concatenate([[0], s, [0]]).astype(np.int64)
         keep = np.ones(len(s), dtype=bool)
         keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
         s = s[keep]
-        return (s[:-2] << 12) + (s[1:-1] << 6) + s[2:]
+        return (s[:-2] << 42) + (s[1:-1] << 21) + s[2:]
 
     def vectors(self, grams: list[np.ndarray]) -> np.ndarray:
         """One bundled vector for each text."""
-        lengths = [len(g) for g in grams]
-        if not sum(lengths):
-            return np.zeros((len(grams), self.dimensions), dtype=np.float32)
-        present = np.zeros(SYMBOLS**3, dtype=bool)
-        for g in grams:
-            present[g] = True
-        used = np.flatnonzero(present)
-        place = np.zeros(SYMBOLS**3, dtype=np.int32)
-        place[used] = np.arange(len(used))
-        counts = np.zeros((len(grams), len(used)), dtype=np.float32)
-        for i, g in enumerate(grams):
-            counts[i] = np.bincount(place[g], minlength=len(used))
         out = np.zeros((len(grams), self.dimensions), dtype=np.float32)
-        for at in range(0, len(used), 4096):
-            u = used[at : at + 4096]
-            bound = (self.first[u >> 12] * self.second[(u >> 6) & 63] * self.third[u & 63]).astype(np.float32)
-            out += counts[:, at : at + 4096] @ bound
+        counted = [np.unique(g, return_counts=True) for g in grams]
+        numbers, times = np.concatenate([u for u, _ in counted]), np.concatenate([n for _, n in counted])
+        rows = np.repeat(np.arange(len(grams)), [len(u) for u, _ in counted])
+        order = np.argsort(numbers, kind="stable")
+        numbers, times, rows = numbers[order], times[order], rows[order]
+        used, first = np.unique(numbers, return_index=True)
+        first = np.append(first, len(numbers))
+        place = np.repeat(np.arange(len(used)), np.diff(first))
+        for at in range(0, len(used), BOUND):
+            u = used[at : at + BOUND]
+            bound = (self.first[u >> 42] * self.second[(u >> 21) & 0x1FFFFF] * self.third[u & 0x1FFFFF]).astype(np.float32)
+            here = slice(first[at], first[at + len(u)])
+            counts = np.zeros((len(grams), len(u)), dtype=np.float32)
+            counts[rows[here], place[here] - at] = times[here]
+            out += counts @ bound
         return out
 
 

@@ -409,6 +409,23 @@ def test_language_vectors_are_bound_and_bundled():
     assert (e.vectors([grams])[0] == want).all()
 
 
+def test_language_letters_of_all_scripts_differ(spark):
+    """Letters beyond a to z have vectors of their own: languages of one script that differ in letters are told apart."""
+    e = languages.Encoder()
+    classes = e.classes[[ord(c) for c in "äöéñжщґїλωابجदन你好한글"]]
+    assert len(set(classes.tolist())) == len(classes) and classes.min() > 26
+    assert e.classes[ord("Ж")] == e.classes[ord("ж")] and e.classes[ord("E")] == 5 and e.classes[ord("7")] == 0
+    v = languages.letter_vectors(classes).astype(int)
+    assert abs((v @ v.T)[~np.eye(len(v), dtype=bool)]).max() < 200 and set(np.unique(v)) == {-1, 1}
+    assert (e.first[int(classes[4])] == np.roll(v[4], 2)).all() and (e.second[classes] == np.roll(v, 1, axis=1)).all()
+    r = random.Random(8)
+    scripts = {"one": "абвгдежзик", "two": "лмнопрстуф", "three": "的一是不了人我在有他", "four": "这为之大来以个中上们"}
+    data = [(i, "".join(r.choice(scripts[k] + " ") for _ in range(80)), k) for i, k in enumerate([*scripts] * 30)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.lang_pred for x in languages.predict(frame, languages.learn(frame.where("doc_id < 80")), keep=["doc_id"]).collect()}
+    assert all(got[i] == k for i, _, k in data)
+
+
 def test_topk_ties_and_widths(spark):
     """Repeated rows, vectors of several widths, and ties, against every pair."""
     data = [(i, i, [i % 3, 1]) for i in range(50)] + [(50, 60, [1, 1, 5]), (51, 61, []), (52, 7, [1, 1]), (53, 60, [1, 1, 5]), (54, 0, [0, 1])]
