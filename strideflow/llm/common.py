@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +30,28 @@ def small_batches(spark: SparkSession, rows: int = 4096) -> None:
         spark.conf.set(name, str(rows))
 
 
+def release() -> None:
+    """Give memory that is free, but held by this process, back to the system; where the C library cannot, only Arrow's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return
+    trim(0)
+
+
+def lean(f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``f`` for mapInPandas; at the end of a task its worker, which stays for later tasks and stages, keeps no more than it holds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def group_rows(total: int, spark: SparkSession, most: int = 50_000) -> int:
     """Rows that one window group should hold: an eighth of an even partition, within bounds."""
     return max(64, min(most, total // (8 * partitions(spark)) + 1))

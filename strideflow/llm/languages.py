@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches, staged, unit_hash
+from .common import lean, read_table, small_batches, staged, unit_hash
 
 DIMENSIONS = 1024
 SEED = 20
@@ -141,7 +141,7 @@ def learn(examples: DataFrame, fit_rows: int = FIT_ROWS, dimensions: int = DIMEN
         if sums:
             yield pd.DataFrame({"lang": list(sums), "bundle": [v.astype("<f8").tobytes() for v in sums.values()]})
 
-    parts = sample.select("text", "lang").mapInPandas(bundle, "lang string, bundle binary")
+    parts = sample.select("text", "lang").mapInPandas(lean(bundle), "lang string, bundle binary")
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -186,7 +186,7 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray], keep: lis
             yield out
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "__text"]
-    return slim.mapInPandas(answer, ", ".join([*fields, "lang_pred string", "score double"]))
+    return slim.mapInPandas(lean(answer), ", ".join([*fields, "lang_pred string", "score double"]))
 
 
 def held_out(fold: int = 2, of: int = 4):

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, read_table, small_batches, staged, text_or_empty
+from .common import lean, partitions, read_table, release, small_batches, staged, text_or_empty
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -174,8 +174,8 @@ def document_frequencies(chunks: DataFrame) -> DataFrame:
         if rows:
             yield recurring(rows)
 
-    asked = chunks.select("chunk", "text").mapInPandas(ask, "part int, chunk long, hashes binary, seen binary")
-    return asked.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(answer, "chunk long, hashes binary, seen binary")
+    asked = chunks.select("chunk", "text").mapInPandas(lean(ask), "part int, chunk long, hashes binary, seen binary")
+    return asked.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(lean(answer), "chunk long, hashes binary, seen binary")
 
 
 def recurring(rows: list[tuple]) -> pd.DataFrame:
@@ -275,8 +275,13 @@ def signed(chunks: DataFrame, n: int, bands: int = BANDS, rows: int = ROWS) -> D
                 found[start + d], total[start + d], seen[start + d] = row, float(w), zlib.compress(df.tobytes(), 1)
         return pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "weight": total, "seen": seen, "buckets": found}).astype({"doc_id": "Int64", "weight": "Float64"})
 
+    def sign_leanly(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out = sign(batch, answers)
+        release()
+        return out
+
     both = chunks.select("chunk", "doc_id", "key", "text").groupBy("chunk").cogroup(document_frequencies(chunks).groupBy("chunk"))
-    return both.applyInPandas(sign, "doc_id long, key string, weight double, seen binary, buckets array<long>")
+    return both.applyInPandas(sign_leanly, "doc_id long, key string, weight double, seen binary, buckets array<long>")
 
 
 def weighed(shingler: Shingler, text: str, seen: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -314,7 +319,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                 out.append(weighted_jaccard(weights(r.ta, r.sa), last[1]))
             yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "similarity": out})
 
-    return both.mapInPandas(compare, "a string, b string, similarity double")
+    return both.mapInPandas(lean(compare), "a string, b string, similarity double")
 
 
 def overlaps(who: np.ndarray, hashes: np.ndarray, tf: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
@@ -438,7 +443,7 @@ def resolved(blocks: DataFrame, texts: DataFrame, n: int, similarity: float) ->
         if open_:
             yield pd.DataFrame(links(shingler, pd.concat(open_)), columns=["a", "b"])
 
-    return held.mapInPandas(resolve, "a string, b string")
+    return held.mapInPandas(lean(resolve), "a string, b string")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import group_rows, partitions, read_table, small_batches, staged, unit_hash, within_rank
+from .common import group_rows, lean, partitions, read_table, small_batches, staged, unit_hash, within_rank
 
 CAPACITY = 2048
 END_ID = 0
@@ -45,20 +45,22 @@ def encoder(files: tuple[str, str], special: str = "<|endoftext|>"):
 
     Both files hold one vocabulary. Ids come from the ranks, which take a quarter of the
     time; a text that holds a special token's string goes to the tokenizers library, as it
-    alone defines what becomes of it. Tests hold both against each other.
+    alone defines what becomes of it, and is loaded at the first such text. Tests hold both against each other.
     """
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(files[0])
+    full: list[Tokenizer] = []
     with open(files[1], "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
         if special in text or any("\ud800" <= c <= "\udfff" for c in text if c > "퟿"):
-            return full.encode(text, add_special_tokens=False).ids
+            if not full:
+                full.append(Tokenizer.from_file(files[0]))
+            return full[0].encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
@@ -90,7 +92,7 @@ def tokenised(documents: DataFrame, capacity: int = CAPACITY, end_id: int = END_
             yield frame.astype({"doc_id": "Int64"})
 
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInPandas(cut, PIECES + ", ids array<int>" * keep_ids)
+    return slim.mapInPandas(lean(cut), PIECES + ", ids array<int>" * keep_ids)
 
 
 def nested(is_gap: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches
+from .common import lean, read_table, small_batches
 
 KINDS = ("assign", "access", "hex", "net")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -327,7 +327,7 @@ def scan(documents: DataFrame, net: CharNet, keep: list[str], also: str | None =
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "__text"]
     fields += [f"`{also}` string"] if also else []
-    return slim.mapInPandas(run, ", ".join([*fields, f"spans {SPANS}"]))
+    return slim.mapInPandas(lean(run), ", ".join([*fields, f"spans {SPANS}"]))
 
 
 def masked(text: str, spans: list[tuple[int, int]], by: str = "[SECRET]") -> str:

@@ -1,12 +1,17 @@
 """Corpus operators against plain restatements, and on awkward tables."""
 
+import ctypes
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -887,3 +892,67 @@ def test_pipeline_stages_match_plain_versions(spark, tmp_path):
         own = own.sort_values("offset")
         assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= 2048
     assert out.sequence_id.nunique() == max(1, -(-int(out.length.sum()) // 2048))
+
+
+class Taken:
+    """Stands for a table, and gives the function that mapInPandas gets."""
+
+    def __init__(self, spark, fields):
+        self.sparkSession, self.schema = spark, spark.createDataFrame([], fields).schema
+
+    def select(self, *columns):
+        return self
+
+    def mapInPandas(self, f, schema):  # noqa: N802
+        return f
+
+
+IDLE = """
+import ctypes, pickle, re, sys
+import pandas as pd
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+f = pickle.loads(open(sys.argv[1], "rb").read())
+for _ in f(iter([pd.read_pickle(sys.argv[2])])):
+    pass
+del _
+before = held()
+ctypes.CDLL(None).malloc_trim(0)
+print(before - held())
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup") or not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="memory cannot be read here")
+def test_idle_workers_hold_no_free_memory(spark, tmp_path):
+    from pyspark import cloudpickle
+
+    r = random.Random(2)
+    batch = pd.DataFrame({"doc_id": range(600), "text": [words(r, 400) for _ in range(600)]})
+    f = packing.tokenised(Taken(spark, "doc_id long, text string"))
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(f))
+    batch.to_pickle(tmp_path / "batch")
+    out = subprocess.run([sys.executable, "-c", IDLE, tmp_path / "f", tmp_path / "batch"], capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 15  # MB
+
+
+def test_library_vocabulary_is_loaded_only_for_texts_that_need_it(monkeypatch):
+    import tokenizers
+
+    loaded = []
+    load = tokenizers.Tokenizer.from_file
+
+    class Counted:
+        @staticmethod
+        def from_file(path):
+            loaded.append(path)
+            return load(path)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    files = packing.tokenizer_files()
+    encode = packing.encoder(files)
+    assert encode("plain text, é") == load(files[0]).encode("plain text, é", add_special_tokens=False).ids and not loaded
+    for text in ("a <|endoftext|> b", "c <|endoftext|>"):
+        assert encode(text) == load(files[0]).encode(text, add_special_tokens=False).ids
+    assert loaded == [files[0]]
